@@ -10,10 +10,12 @@ from symweave.llm.decontaminate import OP8_SQL, op8_suffix_decontam
 from symweave.llm.language import op3_byte_cnn_language
 from symweave.llm.packing import op5_concat_cut_pack
 from symweave.llm.quality import op10_rff_quality
+from symweave.llm.simhash import op4_simhash_ball
 from symweave.llm.token_count import op6_fst_token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_cnn_language": op3_byte_cnn_language,
+    "op4_simhash_ball": op4_simhash_ball,
     "op5_concat_cut_pack": op5_concat_cut_pack,
     "op6_fst_token_count": op6_fst_token_count,
     "op8_suffix_decontam": op8_suffix_decontam,
