@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from symweave.llm.archive import OP1_SQL, op1_arc_to_warc
 from symweave.llm.decontaminate import OP8_SQL, op8_suffix_decontam
 from symweave.llm.language import op3_byte_cnn_language
 from symweave.llm.packing import op5_concat_cut_pack
@@ -14,6 +15,7 @@ from symweave.llm.simhash import op4_simhash_ball
 from symweave.llm.token_count import op6_fst_token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_arc_to_warc": op1_arc_to_warc,
     "op3_byte_cnn_language": op3_byte_cnn_language,
     "op4_simhash_ball": op4_simhash_ball,
     "op5_concat_cut_pack": op5_concat_cut_pack,
@@ -22,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_rff_quality": op10_rff_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_suffix_decontam": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_arc_to_warc": OP1_SQL, "op8_suffix_decontam": OP8_SQL}
