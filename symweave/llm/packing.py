@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,43 +30,48 @@ from symweave.llm.common import materialise, small_batches, table
 WINDOW = 1024
 SEPARATOR = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct pre-tokens whose ids a worker remembers before it starts anew.
-MEMO = 300_000
-
 #: The pre-token pattern of byte-level vocabularies of this family (fixed value).
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Encoder:
-    """Ids by the tokenizers library; pre-tokens that were seen before are not encoded again."""
+    """Ids as the tokenizers library gives them for a byte-level vocabulary file.
+
+    The same vocabulary is also read into tiktoken's encoder, which merges pairs
+    by the same ranks about three times as fast. The library stays the measure:
+    it encodes texts with special strings itself, and the first text of every
+    batch for comparison; where the two differ it encodes the whole batch.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.split = regex.compile(PRE_TOKEN).findall
-        self.memo: dict[str, bytes] = {}
+        # byte-level vocabularies write printable bytes as themselves and the others from code point 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(plain))}
+        ranks = {bytes(byte_of[c] for c in word): i for word, i in self.library.get_vocab(with_added_tokens=False).items()}
+        self.fast = tiktoken.Encoding("byte-level", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+
+    def _by_library(self, text: str) -> bytes:
+        return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo, split = self.memo, self.split
-        out: list[bytes] = []
-        plain = [t if t and not any(s in t for s in self.specials) else None for t in texts]
-        words = [split(t) if t else [] for t in plain]
-        new = list({w for ws in words for w in ws if w not in memo})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            # one text for each pre-token: a pre-token is split no further, so its ids are those it has in place
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[w] = np.asarray(e.ids, "<u2").tobytes()
-        for t, p, ws in zip(texts, plain, words, strict=True):
-            if p is None and t:
-                out.append(np.asarray(self.library.encode(t, add_special_tokens=False).ids, "<u2").tobytes())
+        out, checked, fast = [], False, self.fast.encode_ordinary
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif any(s in t for s in self.specials):
+                out.append(self._by_library(t))
             else:
-                out.append(b"".join([memo[w] for w in ws]))
+                out.append(array("H", fast(t)).tobytes())
+                if not checked:
+                    checked = True
+                    if out[-1] != self._by_library(t):
+                        return [self._by_library(x) if x else b"" for x in texts]
         return out
 
 
