@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from symweave.llm.additive import op9_additive_ann
 from symweave.llm.archive import OP1_SQL, op1_arc_to_warc
 from symweave.llm.decontaminate import OP8_SQL, op8_suffix_decontam
 from symweave.llm.language import op3_byte_cnn_language
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_concat_cut_pack": op5_concat_cut_pack,
     "op6_fst_token_count": op6_fst_token_count,
     "op8_suffix_decontam": op8_suffix_decontam,
+    "op9_additive_ann": op9_additive_ann,
     "op10_rff_quality": op10_rff_quality,
 }
 
