@@ -78,8 +78,14 @@ class AdditiveQuantiser:
             books.append(centres)
             left -= centres[self._nearest(left, centres)]
         self.books = np.stack(books)  # [codebook, entry, dimension]
-        self.flat = self.books.reshape(-1, self.books.shape[2])
-        self.products = self.flat @ self.flat.T
+        self.products: np.ndarray | None = None  # of all pairs of entries; made where vectors are encoded
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self.books.reshape(-1, self.books.shape[2])
+
+    def __getstate__(self) -> dict:
+        return {"books": self.books, "products": None}
 
     @staticmethod
     def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -88,6 +94,8 @@ class AdditiveQuantiser:
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Codes [n, codebooks] and the norm of their sums, by beam search over all codebooks."""
         m, k, _ = self.books.shape
+        if self.products is None:
+            self.products = self.flat @ self.flat.T
         codes, norms = np.zeros((len(x), m), np.uint8), np.zeros(len(x), np.float32)
         own = np.diag(self.products)
         for a in range(0, len(x), 1024):
