@@ -32,10 +32,16 @@ from pyspark.sql import functions as F
 
 from symweave.llm.common import materialise, small_batches, table
 from symweave.llm.components import components
+from symweave.llm.decontaminate import words_of
 
 SHINGLE = 4
 RADIUS = 4
 HASH_SEED = 42
+#: Bits in which the five-word fingerprints of copies may differ: a similarity of 0.8 leaves 10 of 64 on average.
+SLACK = 16
+#: Seeds of the word fingerprints of copies; each catches most copies, together nearly all.
+COPY_SEEDS = (1, 2, 3)
+COPY_SHINGLE = 5
 #: Fingerprints whose own top bits name one bucket, as expected.
 BUCKET = 1024
 #: Variants held at once; a larger bucket is walked in slices by further bits.
@@ -56,12 +62,7 @@ def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
         starts = [0, *ends[:-shingle]]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a : b - 1], HASH_SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
-    n = len(hashes)
-    rows = np.asarray(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(n, 8)
-    ones = np.zeros(64, np.int64)
-    for a in range(0, n, 8192):
-        ones += np.unpackbits(rows[a : a + 8192], axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    return majority(hashes)
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,8 +89,9 @@ def depth_for(count: int, bucket: int = BUCKET) -> int:
 
 
 def routed(nodes: DataFrame, depth: int, radius: int) -> DataFrame:
-    """(bucket, fp): each fingerprint once for every bucket that one of its variants falls into."""
+    """(bucket, fp, ...): each row once for every bucket that one of its fingerprint's variants falls into."""
     flips = masks(0, depth, radius // 2)
+    names = nodes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,9 +99,10 @@ def routed(nodes: DataFrame, depth: int, radius: int) -> DataFrame:
             for a in range(0, len(fps), 4096):
                 part = fps[a : a + 4096]
                 top = part >> np.uint64(64 - depth) if depth else np.zeros(len(part), np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array((top[:, None] ^ flips).ravel().view(np.int64)), pa.array(np.repeat(part, len(flips)).view(np.int64))], names=["bucket", "fp"])
+                owner = pa.array(np.repeat(np.arange(a, a + len(part)), len(flips)))
+                yield pa.RecordBatch.from_arrays([pa.array((top[:, None] ^ flips).ravel().view(np.int64)), *[c.take(owner) for c in batch.columns]], names=["bucket", *names])
 
-    return nodes.select("fp").mapInArrow(run, "bucket long, fp long")
+    return nodes.mapInArrow(run, "bucket long, " + ", ".join(f"{n} long" for n in names))
 
 
 def slices(fps: np.ndarray, bucket: int, depth: int, reach: int) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -121,8 +124,8 @@ def slices(fps: np.ndarray, bucket: int, depth: int, reach: int) -> Iterator[lis
     yield found
 
 
-def meetings(fps: np.ndarray, bucket: int, depth: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links (numbers of fingerprints) between each variant's first owner and its others."""
+def meetings(fps: np.ndarray, bucket: int, depth: int, radius: int, checks: np.ndarray | None = None, slack: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links (numbers of fingerprints) between owners of one variant: to its first owner, or to the first that is near enough."""
     left, right = [], []
     for groups in slices(fps, bucket, depth, radius // 2):
         if sum(len(rows) for rows, _, _ in groups) < 2:
@@ -130,6 +133,7 @@ def meetings(fps: np.ndarray, bucket: int, depth: int, radius: int) -> tuple[np.
         variants = np.concatenate([(base[:, None] ^ m).ravel() for _, base, m in groups])
         variants.sort()
         shared = np.unique(variants[1:][variants[1:] == variants[:-1]])
+        del variants
         if not len(shared):
             continue
         # a second walk over the variants tells the owners of the shared ones; a bit table spares most searches
@@ -148,11 +152,16 @@ def meetings(fps: np.ndarray, bucket: int, depth: int, radius: int) -> tuple[np.
         at, who = np.concatenate(at), np.concatenate(who)
         order = np.lexsort((who, at))
         at, who = at[order], who[order]
-        first = who[np.searchsorted(at, at, side="left")]
-        pair = np.unique(np.stack([first, who], 1)[first != who], axis=0)
-        near = np.bitwise_count(fps[pair[:, 0]] ^ fps[pair[:, 1]]) <= radius
-        left.append(pair[near, 0])
-        right.append(pair[near, 1])
+        while len(at):
+            first = who[np.searchsorted(at, at, side="left")]
+            near = np.bitwise_count(fps[first] ^ fps[who]) <= radius
+            if checks is not None:
+                near &= np.bitwise_count(checks[first] ^ checks[who]) <= slack
+            linked = near & (first != who)
+            pair = np.unique(first[linked] * len(fps) + who[linked])
+            left.append(pair // len(fps))
+            right.append(pair % len(fps))
+            at, who = at[~near], who[~near]  # owners of a variant that are not near its first may be near each other
     empty = np.zeros(0, np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
@@ -170,19 +179,31 @@ def local_components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             return label
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(u, v) between fingerprints of one component; at most one a fingerprint and bucket."""
+def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, slack: int = SLACK) -> DataFrame:
+    """(u, v) between nodes of one component; at most one a node and bucket.
+
+    A node is its fingerprint (``fp``); with the columns ``check`` and ``id`` it is
+    the id, and linked nodes must also have checks within ``slack`` bits.
+    """
     depth = depth_for(nodes.count(), bucket)
+    checked = "check" in nodes.columns
 
     def collide(group: pa.Table) -> pa.Table:
-        fps = np.unique(group.column("fp").to_numpy().view(np.uint64))
-        at = int(group.column("bucket")[0].as_py())
-        u, v = meetings(fps, at, depth, radius)
+        fps, at = group.column("fp").to_numpy().view(np.uint64), int(group.column("bucket")[0].as_py())
+        if checked:
+            names = group.column("id").to_numpy()
+            order = np.argsort(names)
+            names, fps = names[order], fps[order]
+            u, v = meetings(fps, at, depth, radius, group.column("check").to_numpy().view(np.uint64)[order], slack)
+        else:
+            fps = np.unique(fps)
+            names = fps.view(np.int64)
+            u, v = meetings(fps, at, depth, radius)
         label = local_components(len(fps), u, v)
         moved = np.flatnonzero(label != np.arange(len(fps)))
-        return pa.table({"u": fps[moved].view(np.int64), "v": fps[label[moved]].view(np.int64)})
+        return pa.table({"u": names[moved], "v": names[label[moved]]})
 
-    return routed(nodes, depth, radius).groupBy("bucket").applyInArrow(collide, "u long, v long")
+    return routed(nodes.select("fp", "check", "id") if checked else nodes.select("fp"), depth, radius).groupBy("bucket").applyInArrow(collide, "u long, v long")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,6 +218,66 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int =
     return rows.join(of_fp, "fp").select(key, "fp", "component")
 
 
+def majority(hashes: list[int]) -> int:
+    """The bits that are set in over half of the hashes."""
+    n = len(hashes)
+    rows = np.asarray(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(n, 8)
+    ones = np.zeros(64, np.int64)
+    for a in range(0, n, 8192):
+        ones += np.unpackbits(rows[a : a + 8192], axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+
+
+def copy_fingerprints(raw: bytes | None) -> list[int]:
+    """The five-word fingerprint of a text, then one fingerprint of its set of words for each seed; case and punctuation do not count."""
+    words = words_of(raw)
+    if not words:
+        return [0] * (1 + len(COPY_SEEDS))
+    digest, k = xxhash.xxh64_intdigest, COPY_SHINGLE
+    shingles = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
+    own = set(words)
+    return [majority([digest(x, 0) for x in shingles]), *[majority([digest(w, seed) for w in own]) for seed in COPY_SEEDS]]
+
+
+def copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component): groups of copies and near copies, for filtering.
+
+    Shingle fingerprints of texts that share four fifths of their five-word
+    shingles differ in about ten bits, too many for a ball. The fingerprints that
+    meet here are those of the set of words, which few edits hardly change, under
+    several seeds; links must also have five-word fingerprints within ``SLACK``.
+    """
+    small_batches(documents.sparkSession, 500)
+    kind = documents.schema[key].dataType.simpleString()
+    names = ["check", *[f"f{s}" for s in COPY_SEEDS]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.asarray([copy_fingerprints(b) for b in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(len(names))]], names=[key, *names])
+
+    rows = materialise(documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names)), "copy-fingerprints")
+    classes = materialise(rows.groupBy(*names).agg(F.min(key).alias("id")), "classes")
+    found = None
+    for s in COPY_SEEDS:
+        part = materialise(links(classes.select(F.col(f"f{s}").alias("fp"), "check", F.col("id").cast("long"))), "links")
+        found = part if found is None else found.unionByName(part)
+    roots = components(found).withColumnRenamed("u", "id")
+    named = classes.join(roots, "id", "left").withColumn("component", F.coalesce("m", "id")).select(*names, "component")
+    return rows.join(named, names).select(key, F.col("component").cast(kind).alias("component"))
+
+
+def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of copies, that with the smallest key, with all its columns; of rows that repeat a key, one."""
+    groups = materialise(copies(documents, key, text), "copies")
+    kept = documents.join(groups.where(F.col(key) != F.col("component")).select(key).distinct(), key, "left_anti").select(*documents.columns)
+    again = groups.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    if again.isEmpty():
+        return kept
+    first = kept.join(again, key, "left_semi").select(key, F.struct(*documents.columns).alias("r")).groupBy(key).agg(F.min("r").alias("r")).select("r.*")
+    return kept.join(again, key, "left_anti").select(*documents.columns).unionByName(first.select(*documents.columns))
+
+
 def op4_simhash_ball(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
