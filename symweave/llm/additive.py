@@ -10,8 +10,8 @@ scored again exactly.
 The codebooks are fitted on at most about ``TRAINING_ROWS`` rows, taken by a hash
 of the id; every row is encoded and indexed. Queries are sent to the code
 partitions in blocks of ``QUERY_BLOCK``, which bounds what is broadcast, and each
-partition answers with its best ``CANDIDATES`` for a query, so neither rows nor
-pairs are shuffled but those candidates.
+partition answers with its best few for a query (three times its share of
+``CANDIDATES``), so nothing is shuffled but those candidates.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components
 take no part, nor do those of another length than most rows have; rows with the
@@ -177,7 +177,10 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = 5, candidates
     if quantiser is None:
         return spark.createDataFrame([], schema)
     index = materialise(encoded(rows, quantiser), "codes")
-    index = index.coalesce(max(1, -(-index.count() // SCAN_ROWS)))
+    tasks = max(1, -(-index.count() // SCAN_ROWS))
+    index = index.coalesce(tasks)
+    # a task holds its share of the best candidates; it sends three times that share, and never too few to answer alone
+    own = min(candidates, max(2 * neighbours, -(-3 * candidates // tasks)))
     asked = rows.where(is_query)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     parts = []
@@ -190,7 +193,7 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = 5, candidates
             continue
         names = sorted(held)
         sent = spark.sparkContext.broadcast((quantiser, np.asarray(names), unit(np.asarray([held[q] for q in names]))))
-        parts.append(_search_block(index, rows, sent, kind, schema, neighbours, candidates))
+        parts.append(_search_block(index, rows, sent, kind, schema, neighbours, candidates, own))
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]
@@ -199,7 +202,7 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = 5, candidates
     return out
 
 
-def _search_block(index: DataFrame, rows: DataFrame, sent, kind: str, schema: str, neighbours: int, candidates: int) -> DataFrame:
+def _search_block(index: DataFrame, rows: DataFrame, sent, kind: str, schema: str, neighbours: int, candidates: int, own: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser, names, queries = sent.value
         found: list[tuple[np.ndarray, np.ndarray]] | None = None
@@ -218,7 +221,7 @@ def _search_block(index: DataFrame, rows: DataFrame, sent, kind: str, schema: st
                     while at < len(ids) and ids[at] == names[q]:
                         s[at] = -np.inf
                         at += 1
-                    best = best_places(s, ids, candidates)
+                    best = best_places(s, ids, own)
                     tops.append((ids[best], s[best]))
             if found is None:
                 found = tops
@@ -226,7 +229,7 @@ def _search_block(index: DataFrame, rows: DataFrame, sent, kind: str, schema: st
                 for q, ((i, s), (j, t)) in enumerate(zip(found, tops, strict=True)):
                     i, s = np.concatenate([i, j]), np.concatenate([s, t])
                     o = np.argsort(i, kind="stable")
-                    best = best_places(s[o], i[o], candidates)
+                    best = best_places(s[o], i[o], own)
                     found[q] = (i[o][best], s[o][best])
         for a in range(0, len(found or ()), 256):
             part = found[a : a + 256]
