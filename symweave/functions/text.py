@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Line boundaries besides line feed and carriage return (fixed values of Python's splitlines).
 OTHER_BREAKS = "\x0b\x0c\x1c\x1d\x1e\x85  "
@@ -79,7 +79,6 @@ def clean_docstring(doc: Column) -> Column:
     return out
 
 
-@F.pandas_udf("array<string>")
-def python_splitlines(text: pd.Series) -> pd.Series:
+def python_splitlines(column: str) -> Column:
     """The measure for ``lines``; used in tests."""
-    return text.map(lambda t: None if t is None else t.splitlines())
+    return F.pandas_udf(lambda text: text.map(lambda t: None if t is None else t.splitlines()), T.ArrayType(T.StringType()), F.PandasUDFType.SCALAR)(column)

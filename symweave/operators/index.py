@@ -172,14 +172,14 @@ def regex_filter(c: Column, pattern: str) -> Column:
 
 
 def _python_search(pattern: str):
-    import pandas as pd
+    """Search by Python's own dialect, for patterns that Java has no form of."""
+    from pyspark.sql.types import BooleanType
 
-    @F.pandas_udf("boolean")
-    def search(names: pd.Series) -> pd.Series:
+    def search(names):
         found = re.compile(pattern)
         return names.map(lambda x: None if x is None else found.search(x) is not None)
 
-    return search
+    return F.pandas_udf(search, BooleanType(), F.PandasUDFType.SCALAR)
 
 
 def facts(index: SymbolIndex, condition: Column) -> DataFrame:

@@ -21,7 +21,8 @@ class TaskList:
 
     def add(self, more: DataFrame) -> TaskList:
         """Append tasks; KeyError if an id is already there."""
-        twice = more.join(self.tasks.select("task_id"), "task_id", "left_semi").unionByName(more.groupBy("task_id").count().where("count > 1").join(more, "task_id", "left_semi").select(*more.columns)).limit(1).collect()
+        both = self.tasks.select("task_id").unionByName(more.select("task_id"))
+        twice = both.groupBy("task_id").count().where("count > 1").join(more.select("task_id"), "task_id", "left_semi").limit(1).collect()
         if twice:
             raise KeyError(twice[0]["task_id"])
         return replace(self, tasks=self.tasks.unionByName(more))

@@ -276,7 +276,7 @@ def contained_calls(spark, d):
 
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_path"), F.col("l_shipdate").alias("start_byte"), F.col("l_shipdate").alias("end_byte"))
     bodies = lines.groupBy("file_path").agg(F.min("start_byte").alias("body_start"), F.max("start_byte").alias("body_end"))
-    found = contained(bodies, lines.where(F.lit(True)), half_open=True)
+    found = contained(bodies, lines, half_open=True)
     return found.groupBy(F.col("file_path").alias("l_orderkey")).agg(F.count("*").alias("contained"))
 
 
@@ -368,7 +368,7 @@ def bfs_order(spark, d):
 
 
 def _ends(spark, d):
-    """The first three customers of a chain: a path of two edges."""
+    """The first and the fourth customer of a chain."""
     w = table(spark, d, "customer").where("c_nationkey = 0").orderBy("c_acctbal", "c_custkey").select("c_custkey").limit(4).collect()
     return w[0][0], w[-1][0]
 
@@ -380,9 +380,19 @@ def _text(paths):
     return paths.select("path_no", F.array_join(F.transform("nodes", lambda x: x.cast("string")), "->").alias("path"))
 
 
-_NODE_PATHS = f"WITH RECURSIVE {CHAIN}, {_ENDS}, walk AS (SELECT [a] AS nodes, a AS last, CAST([] AS BIGINT[]) AS ords FROM ends UNION ALL SELECT list_append(nodes, dst), dst, list_append(ords, CAST(ordinal AS BIGINT)) FROM walk JOIN edges ON src = last, ends WHERE last <> b AND NOT list_contains(nodes, dst) AND len(ords) < {{n}}) SELECT CAST(row_number() OVER (ORDER BY ords) - 1 AS INTEGER) AS path_no, array_to_string(nodes, '->') AS path FROM walk, ends WHERE last = b ORDER BY ords LIMIT {{k}}"
-query("paths_node_k3", _NODE_PATHS.format(n=12, k=3))(lambda s, d: _text(G.first_paths(X.customer_edges(s, d), *_ends(s, d), 3, 12)))
-query("paths_max_depth", _NODE_PATHS.format(n=2, k=3))(lambda s, d: _text(G.first_paths(X.customer_edges(s, d), *_ends(s, d), 3, 2)))
+def _part_paths(spark, d, k, depth):
+    """First paths from the first node of the parts' graph to the least node that it does not call itself but reaches in two steps."""
+    g = G.call_graph(X.part_index(spark, d))
+    near = materialise(G.reachable(g.edges, spark.createDataFrame([(0,)], "node_id long"), 2), "near")
+    goal = near.where("level = 2").agg(F.min("node_id")).first()[0]
+    return _text(G.first_paths(g.edges, 0, goal if goal is not None else 0, k, depth))
+
+
+_ORDERED = "ordered AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY site_byte, site_file, seq, dst) AS ordinal FROM (SELECT a.node_id AS src, b.node_id AS dst, site_byte, site_file, seq FROM edges JOIN nodes a ON a.p_partkey = caller_key JOIN nodes b ON b.p_partkey = target_key))"
+_GOAL = "near AS (SELECT DISTINCT dst FROM ordered WHERE src = 0), goal AS (SELECT min(dst) AS b FROM ordered WHERE src IN (SELECT dst FROM near) AND dst NOT IN (SELECT dst FROM near) AND dst <> 0)"
+_PART_PATHS = f"WITH RECURSIVE {PARTS}, {_NODES}, {_ORDERED}, {_GOAL}, walk AS (SELECT [CAST(0 AS BIGINT)] AS path, CAST(0 AS BIGINT) AS last, CAST([] AS BIGINT[]) AS ords UNION ALL SELECT list_append(path, dst), dst, list_append(ords, ordinal) FROM walk JOIN ordered ON src = last, goal WHERE last <> b AND NOT list_contains(path, dst) AND len(ords) < {{n}} AND (len(ords) < {{n}} - 1 OR dst = b)) SELECT CAST(row_number() OVER (ORDER BY ords) - 1 AS INTEGER) AS path_no, array_to_string(path, '->') AS path FROM walk, goal WHERE last = b ORDER BY ords LIMIT {{k}}"
+query("paths_node_k3", _PART_PATHS.format(n=3, k=3))(lambda s, d: _part_paths(s, d, 3, 3))
+query("paths_max_depth", _PART_PATHS.format(n=2, k=10))(lambda s, d: _part_paths(s, d, 10, 2))
 
 
 @query("paths_scc", f"WITH RECURSIVE {CHAIN}, {CLOSURE}, {_ENDS}, goal AS (SELECT (SELECT scc_id FROM scc WHERE node_id = a) AS a, (SELECT scc_id FROM scc WHERE node_id = b) AS b FROM ends), walk AS (SELECT [a] AS nodes, a AS last FROM goal UNION ALL SELECT list_append(nodes, dst_scc), dst_scc FROM walk JOIN dag ON src_scc = last, goal WHERE last <> b) SELECT CAST(0 AS INTEGER) AS path_no, array_to_string(nodes, '->') AS path FROM walk, goal WHERE last = b")
