@@ -44,6 +44,10 @@ COPY_SEEDS = (1, 2, 3)
 COPY_SHINGLE = 5
 #: Fingerprints whose own top bits name one bucket, as expected.
 BUCKET = 1024
+#: Least depth: small inputs have as many buckets as a cluster has cores, not fewer and larger ones.
+LEAST_DEPTH = 8
+#: Keys of dropped documents that are broadcast (16 bytes each); beyond that they are joined by a shuffle.
+BROADCAST_KEYS = 4_000_000
 #: Variants held at once; a larger bucket is walked in slices by further bits.
 HELD = 8_000_000
 
@@ -85,7 +89,7 @@ def masks(low: int, high: int, weight: int) -> np.ndarray:
 
 
 def depth_for(count: int, bucket: int = BUCKET) -> int:
-    return max(0, min(40, math.ceil(math.log2(max(1, count) / bucket))))
+    return max(LEAST_DEPTH, min(40, math.ceil(math.log2(max(1, count) / bucket))))
 
 
 def routed(nodes: DataFrame, depth: int, radius: int) -> DataFrame:
@@ -270,7 +274,10 @@ def copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of copies, that with the smallest key, with all its columns; of rows that repeat a key, one."""
     groups = materialise(copies(documents, key, text), "copies")
-    kept = documents.join(groups.where(F.col(key) != F.col("component")).select(key).distinct(), key, "left_anti").select(*documents.columns)
+    gone = groups.where(F.col(key) != F.col("component")).select(key).distinct()
+    if gone.count() <= BROADCAST_KEYS:  # texts then stay where they are
+        gone = F.broadcast(gone)
+    kept = documents.join(gone, key, "left_anti").select(*documents.columns)
     again = groups.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
     if again.isEmpty():
         return kept
