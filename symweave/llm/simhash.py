@@ -15,7 +15,8 @@ many fingerprints meet, so a group of copies of any size yields no pair list.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any
 other; fewer words than a shingle hash as one sequence; repeated rows share
-their component; further columns are ignored; texts are read whole.
+their component; a null key names no group (``keep_one`` keeps such rows);
+further columns are ignored; texts are read whole.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ LEAST_DEPTH = 8
 #: Keys of dropped documents that are broadcast (16 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_KEYS = 4_000_000
 #: Variants held at once; a larger bucket is walked in slices by further bits.
-HELD = 8_000_000
+HELD = 1_500_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -260,7 +261,7 @@ def copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             found = np.asarray([copy_fingerprints(b) for b in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(len(names))]], names=[key, *names])
 
-    rows = materialise(documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names)), "copy-fingerprints")
+    rows = materialise(documents.select(key, text).where(F.col(key).isNotNull()).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names)), "copy-fingerprints")
     classes = materialise(rows.groupBy(*names).agg(F.min(key).alias("id")), "classes")
     found = None
     for s in COPY_SEEDS:
@@ -278,6 +279,7 @@ def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     if gone.count() <= BROADCAST_KEYS:  # texts then stay where they are
         gone = F.broadcast(gone)
     kept = documents.join(gone, key, "left_anti").select(*documents.columns)
+    # rows without a key belong to no group and stay
     again = groups.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
     if again.isEmpty():
         return kept
