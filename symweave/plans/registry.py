@@ -437,3 +437,68 @@ query("task_results", "SELECT d.doc_id AS task_id, CAST(quality AS VARCHAR) AS r
 @query("skip_existing_notes", "SELECT doc_id AS task_id, doc_id AS ord FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def skip_existing_notes(spark, d):
     return describe_tasks(table(spark, d, "documents").select(F.col("doc_id").alias("task_id")), table(spark, d, "labels").select(F.col("doc_id").alias("task_id"))).select("task_id", "ord")
+
+
+# ---- extraction, over sources written from the parts ------------------------
+
+_ID = "regexp_replace({c}, '[^A-Za-z0-9_]', '_', 'g')"
+
+
+def _extracted(spark, d, lang):
+    from symweave.extract import index_files
+
+    return index_files(X.part_files(spark, d, lang), lang)
+
+
+def _called(spark, d, lang):
+    x = _extracted(spark, d, lang)
+    return x.calls.groupBy(F.col("caller.symbol.name").alias("caller"), F.col("callee.symbol.name").alias("callee")).agg(F.count("*").alias("call_sites"))
+
+
+_CALLED = f"WITH {PARTS} SELECT {_ID.format(c='cname')} AS caller, {_ID.format(c='name')} AS callee, count(*) AS call_sites FROM calls GROUP BY 1, 2"
+for _lang in ("c", "cpp", "python"):
+    query(f"extract_{_lang}", _CALLED)(lambda s, d, lang=_lang: _called(s, d, lang))
+
+
+@query("extract_python_definitions", f"WITH {PARTS} SELECT type, {_ID.format(c='name')} AS name, {_ID.format(c='class_name')} AS class_name, p_type AS doc, count(*) AS n FROM defs GROUP BY 1, 2, 3, 4")
+def extract_python_definitions(spark, d):
+    return _extracted(spark, d, "python").definitions.groupBy("symbol.type", "symbol.name", "symbol.class_name", "doc").agg(F.count("*").alias("n"))
+
+
+@query("extract_c_definitions", f"WITH {PARTS} SELECT {_ID.format(c='name')} AS name, p_type AS doc, count(*) AS n FROM defs GROUP BY 1, 2")
+def extract_c_definitions(spark, d):
+    return _extracted(spark, d, "c").definitions.groupBy("symbol.name", "doc").agg(F.count("*").alias("n"))
+
+
+def _nodes(spark, d):
+    from symweave.extract.ast_nodes import ast_nodes
+
+    return ast_nodes(X.part_files(spark, d, "python"))
+
+
+@query("ast_node_histogram", f"WITH {PARTS} SELECT * FROM (SELECT 'FunctionDef' AS node_type, count(*) AS count FROM defs UNION ALL SELECT 'Module', count(*) FROM defs UNION ALL SELECT 'ClassDef', count(*) FROM defs WHERE class_name IS NOT NULL UNION ALL SELECT 'Call', count(*) FROM calls UNION ALL SELECT 'arg', count(*) FROM defs WHERE class_name IS NOT NULL UNION ALL SELECT 'arguments', count(*) FROM defs UNION ALL SELECT 'Name', count(*) FROM calls UNION ALL SELECT 'Load', count(*) FROM calls UNION ALL SELECT 'Expr', (SELECT count(*) FROM calls) + (SELECT count(*) FROM defs) UNION ALL SELECT 'Constant', (SELECT count(*) FROM calls) + (SELECT count(*) FROM defs)) WHERE count > 0")
+def ast_node_histogram(spark, d):
+    from symweave.extract.ast_nodes import histogram
+
+    return histogram(_nodes(spark, d))
+
+
+@query("ast_extent", f"WITH {PARTS}, n AS (SELECT caller_key, count(*) AS c FROM calls GROUP BY 1) SELECT {_ID.format(c='p_brand')} || '/' || CAST(p_partkey AS VARCHAR) || '.py' AS file_path, CAST(5 + CASE WHEN class_name IS NULL THEN 0 ELSE 2 END + coalesce(c, 0) * 5 AS BIGINT) AS nodes, CAST(CASE WHEN class_name IS NULL THEN 0 ELSE 1 END + CASE WHEN c IS NULL THEN 4 ELSE 6 END AS INTEGER) AS max_depth FROM defs LEFT JOIN n ON caller_key = p_partkey")
+def ast_extent(spark, d):
+    from symweave.extract.ast_nodes import extent
+
+    return extent(_nodes(spark, d))
+
+
+@query("ast_samples", f"WITH {PARTS}, n AS (SELECT caller_key, count(*) AS c FROM calls GROUP BY 1) SELECT {_ID.format(c='p_brand')} || '/' || CAST(p_partkey AS VARCHAR) || '.py' AS file_path, CAST(least(c, 3) AS BIGINT) AS shown FROM defs JOIN n ON caller_key = p_partkey")
+def ast_samples(spark, d):
+    from symweave.extract.ast_nodes import samples
+
+    return samples(_nodes(spark, d), "Call").groupBy("file_path").agg(F.count("*").alias("shown"))
+
+
+@query("report_top_files", ORACLES["top_files"])
+def report_top_files(spark, d):
+    from symweave.plans.report import call_graph_report
+
+    return call_graph_report(X.part_index(spark, d))["top_files"]

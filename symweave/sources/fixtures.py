@@ -62,3 +62,26 @@ def customer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"))
+
+
+def _identifier(c):
+    return F.regexp_replace(c, "[^A-Za-z0-9_]", "_")
+
+
+def part_files(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
+    """files(file_path, content): every defined part written out as source, with its calls in its body."""
+    calls = order_calls(spark, sf_dir).groupBy("caller_key").agg(F.array_sort(F.collect_list(_identifier(F.col("callee.symbol.name")))).alias("called"))
+    parts = part_definitions(spark, sf_dir).join(calls, F.col("p_partkey") == F.col("caller_key"), "left")
+    name, called = _identifier(F.col("symbol.name")), F.coalesce("called", F.array().cast("array<string>"))
+    if lang == "python":
+        inside = F.col("symbol.class_name").isNotNull()
+        pad = F.when(inside, "    ").otherwise("")
+        head = F.when(inside, F.concat(F.lit("class "), _identifier(F.col("symbol.class_name")), F.lit(":\n    def "), name, F.lit("(self):\n"))).otherwise(F.concat(F.lit("def "), name, F.lit("():\n")))
+        doc = F.concat(pad, F.lit('    """'), F.col("doc"), F.lit('"""\n'))
+        body = F.array_join(F.transform(called, lambda c: F.concat(pad, F.lit("    "), c, F.lit("(1)\n"))), "")
+        text = F.concat(head, doc, body)
+    else:
+        body = F.array_join(F.transform(called, lambda c: F.concat(F.lit("    "), c, F.lit("(1, \"(\");\n"))), "")
+        text = F.concat(F.lit("/* "), F.col("doc"), F.lit(" */\nint "), name, F.lit("(void)\n{\n"), body, F.lit("    return 0;\n}\n"))
+    suffix = {"python": ".py", "c": ".c", "cpp": ".cpp"}[lang]
+    return parts.select(F.concat(_identifier(F.col("location.file_path")), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(suffix)).alias("file_path"), text.cast("binary").alias("content"))

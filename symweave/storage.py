@@ -59,5 +59,6 @@ def numbered(df: DataFrame, order: list, name: str, partitions: int | None = Non
         before += r[1]
     if not offset:
         return placed.withColumn(name, F.lit(0).cast("long")).drop("__at")
-    starts = F.create_map(*[F.lit(x).cast("long") for kv in offset.items() for x in kv])
-    return placed.withColumn(name, starts[part.cast("long")] + at).drop("__at")
+    starts = spark.createDataFrame(list(offset.items()), "__p long, __o long")
+    rows = placed.withColumn("__p", part.cast("long")).join(F.broadcast(starts), "__p")  # one row a partition
+    return rows.withColumn(name, F.col("__o") + at).drop("__at", "__p", "__o")
