@@ -62,13 +62,14 @@ def call_graph(index: SymbolIndex, expand_calls: bool = True, direction: str = F
 
     ``entrypoints`` (column ``location``) prunes to what they reach.
     """
-    definitions = index.all_definitions()
+    definitions = materialise(index.all_definitions().select("symbol", "location"), "definitions")
     owned = definitions.groupBy("location").agg(F.min("symbol").alias("owner"))
     nodes = numbered(owned, [F.col("location.file_path"), F.col("location.start_byte"), F.col("location.end_byte"), F.col("location")], "node_id")
-    found = resolve.call_edges(index.calls, definitions, expand_calls)
-    at = nodes.select(F.col("location").alias("__l"), "node_id")
-    found = found.join(at.withColumnRenamed("node_id", "src"), F.col("caller.location") == F.col("__l")).drop("__l")
-    found = found.join(at.withColumnRenamed("node_id", "dst"), F.col("target.location") == F.col("__l")).drop("__l")
+    at = nodes.select("location", "node_id")
+    # numbers are joined to definitions and to calls once, before calls fan out to their targets
+    targets = definitions.join(at, "location")
+    calls = index.calls.join(at.select(F.col("location").alias("__l"), F.col("node_id").alias("src")), F.col("caller.location") == F.col("__l")).drop("__l")
+    found = resolve.call_edges(calls, targets, expand_calls).withColumn("dst", F.col("target.node_id"))
     order = Window.partitionBy("src").orderBy("callee.location.start_byte", "callee.location", "seq", "dst")
     edges = found.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long")).select("src", "dst", "ordinal", "kind")
     graph = CallGraph(nodes, directed(materialise(edges, "edges"), direction), resolve.unresolved(index.calls, definitions, expand_calls))
@@ -130,12 +131,39 @@ def _in_one_task(inputs: list[DataFrame], solve: Callable[..., list[np.ndarray]]
     return tagged.coalesce(1).mapInArrow(run, schema)
 
 
-def adjacency(edges: np.ndarray) -> dict[int, list[int]]:
-    """Targets of each source in order of ordinal, then target."""
-    out: dict[int, list[int]] = {}
-    for s, d, _ in edges[np.lexsort((edges[:, 1], edges[:, 2], edges[:, 0]))].tolist():
-        out.setdefault(s, []).append(d)
-    return out
+class Adjacency:
+    """Edges of one task as arrays: nodes get dense numbers, targets of a node lie side by side in order of ordinal and number."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, ordinal: np.ndarray | None = None, more: np.ndarray | None = None):
+        self.names = np.unique(np.concatenate([src, dst] + ([] if more is None else [more])))
+        s, d = self.number(src), self.number(dst)
+        order = np.argsort(s, kind="stable") if ordinal is None else np.lexsort((d, ordinal, s))
+        self.targets = d[order]
+        self.starts = np.searchsorted(s[order], np.arange(len(self.names) + 1))
+
+    def number(self, names: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.names, names)
+
+    def of(self, n: int) -> list[int]:
+        return self.targets[self.starts[n] : self.starts[n + 1]].tolist()
+
+    def ahead(self, nodes: np.ndarray) -> np.ndarray:
+        """Distinct targets of many nodes."""
+        size = self.starts[nodes + 1] - self.starts[nodes]
+        at = np.repeat(self.starts[nodes] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.unique(self.targets[at])
+
+    def levels(self, roots: np.ndarray, depth: int | None = None) -> np.ndarray:
+        """Least steps from the roots to each node, -1 beyond them."""
+        level = np.full(len(self.names), -1, np.int32)
+        level[roots] = 0
+        front, step = np.unique(roots), 0
+        while len(front) and (depth is None or step < depth):
+            step += 1
+            front = self.ahead(front)
+            front = front[level[front] < 0]
+            level[front] = step
+        return level
 
 
 # ---- reachability ----------------------------------------------------------
@@ -148,20 +176,10 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int | None = None, stra
     if _local(pairs, strategy):
 
         def solve(e: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
-            out: dict[int, list[int]] = {}
-            for s, d in e.tolist():
-                out.setdefault(s, []).append(d)
-            level = {n: 0 for n in r[:, 0].tolist()}
-            queue = deque(level)
-            while queue:
-                n = queue.popleft()
-                if depth is not None and level[n] >= depth:
-                    continue
-                for d in out.get(n, ()):
-                    if d not in level:
-                        level[d] = level[n] + 1
-                        queue.append(d)
-            return [np.fromiter(level, np.int64, len(level)), np.fromiter(level.values(), np.int32, len(level))]
+            graph = Adjacency(e[:, 0], e[:, 1], None, r[:, 0])
+            level = graph.levels(graph.number(r[:, 0]), depth)
+            seen = level >= 0
+            return [graph.names[seen], level[seen]]
 
         return _in_one_task([pairs, roots], solve, "node_id long, level int", ["node_id", "level"])
     pairs = materialise(pairs.distinct(), "pairs")
@@ -180,45 +198,42 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int | None = None, stra
 # ---- strongly connected components -----------------------------------------
 
 
-def tarjan(edges: np.ndarray, nodes: np.ndarray) -> dict[int, int]:
-    """Node to least node of its component; iterative, so depth is not bounded by a stack."""
-    out: dict[int, list[int]] = {}
-    for s, d in edges.tolist():
-        out.setdefault(s, []).append(d)
-    number: dict[int, int] = {}
-    low: dict[int, int] = {}
-    where: dict[int, int] = {}
+def tarjan(graph: Adjacency) -> np.ndarray:
+    """For each node the least node of its component; iterative, so depth is not bounded by a stack."""
+    n, targets, starts = len(graph.names), graph.targets.tolist(), graph.starts.tolist()
+    number, low, where, at = [-1] * n, [0] * n, [-1] * n, starts[:-1].copy()
     stack: list[int] = []
-    for root in [*nodes.tolist(), *out]:
-        if root in number:
+    count = 0
+    for root in range(n):
+        if number[root] >= 0:
             continue
-        number[root] = low[root] = len(number)
-        stack.append(root)
-        walk = [(root, iter(out.get(root, ())))]
+        walk = [root]
         while walk:
-            n, rest = walk[-1]
-            for d in rest:
-                if d not in number:
-                    number[d] = low[d] = len(number)
-                    stack.append(d)
-                    walk.append((d, iter(out.get(d, ()))))
-                    break
-                if d not in where:
-                    low[n] = min(low[n], number[d])
-            else:
-                walk.pop()
-                if walk:
-                    low[walk[-1][0]] = min(low[walk[-1][0]], low[n])
-                if low[n] == number[n]:
-                    members = []
-                    while True:
-                        members.append(stack.pop())
-                        if members[-1] == n:
-                            break
-                    least = min(members)
-                    for m in members:
-                        where[m] = least
-    return where
+            x = walk[-1]
+            if number[x] < 0:
+                number[x] = low[x] = count
+                count += 1
+                stack.append(x)
+            if at[x] < starts[x + 1]:
+                d = targets[at[x]]
+                at[x] += 1
+                if number[d] < 0:
+                    walk.append(d)
+                elif where[d] < 0 and number[d] < low[x]:
+                    low[x] = number[d]
+                continue
+            walk.pop()
+            if walk and low[x] < low[walk[-1]]:
+                low[walk[-1]] = low[x]
+            if low[x] == number[x]:
+                cut = len(stack) - 1
+                while stack[cut] != x:
+                    cut -= 1
+                least = min(stack[cut:])
+                for m in stack[cut:]:
+                    where[m] = least
+                del stack[cut:]
+    return np.asarray(where, np.int64)
 
 
 def components(nodes: DataFrame, edges: DataFrame, strategy: str = "auto") -> DataFrame:
@@ -227,8 +242,8 @@ def components(nodes: DataFrame, edges: DataFrame, strategy: str = "auto") -> Da
     if _local(pairs, strategy):
 
         def solve(e: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-            where = tarjan(e, n[:, 0])
-            return [np.fromiter(where, np.int64, len(where)), np.fromiter(where.values(), np.int64, len(where))]
+            graph = Adjacency(e[:, 0], e[:, 1], None, n[:, 0])
+            return [graph.names, graph.names[tarjan(graph)] if len(graph.names) else graph.names]
 
         return _in_one_task([pairs, ids], solve, "node_id long, scc_id long", ["node_id", "scc_id"])
     return _colour(ids.select(F.col("node_id").cast("long")), pairs)
@@ -311,17 +326,19 @@ def bfs_order(nodes: DataFrame, edges: DataFrame, starts: DataFrame, strategy: s
     if _local(links, strategy):
 
         def solve(e: np.ndarray, n: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
-            out, order, seen = adjacency(e), [], set()
-            queue = deque(s[np.lexsort((s[:, 0], s[:, 1])), 0].tolist())
+            graph = Adjacency(e[:, 0], e[:, 1], e[:, 2], n[:, 0])
+            seen, order = np.zeros(len(graph.names), bool), []
+            queue = deque(graph.number(s[np.lexsort((s[:, 0], s[:, 1])), 0]).tolist())
             while queue:
                 x = queue.popleft()
-                if x in seen:
-                    continue
-                seen.add(x)
-                order.append(x)
-                queue.extend(d for d in out.get(x, ()) if d not in seen)
-            order += [x for x in sorted(n[:, 0].tolist()) if x not in seen]
-            return [np.asarray(order, np.int64), np.arange(len(order), dtype=np.int64)]
+                if not seen[x]:
+                    seen[x] = True
+                    order.append(x)
+                    queue.extend(d for d in graph.of(x) if not seen[d])
+            rest = np.unique(n[:, 0])
+            rest = rest[~seen[graph.number(rest)]]
+            out = np.concatenate([graph.names[np.asarray(order, np.int64)], rest])
+            return [out, np.arange(len(out), dtype=np.int64)]
 
         return _in_one_task([links, ids, firsts], solve, "node_id long, position long", ["node_id", "position"])
     links = materialise(links, "links")
@@ -357,30 +374,24 @@ def first_paths(edges: DataFrame, src: int, dst: int, k: int = 1, max_depth: int
     if _local(links, strategy):
 
         def solve(e: np.ndarray) -> list:
-            into: dict[int, list[int]] = {}
-            for s, d, _ in e.tolist():
-                into.setdefault(d, []).append(s)
-            steps, queue = {dst: 0}, deque([dst])  # least steps to the goal prune branches that cannot reach it
-            while queue:
-                x = queue.popleft()
-                for s in into.get(x, ()):
-                    if s not in steps:
-                        steps[s] = steps[x] + 1
-                        queue.append(s)
-            out, found, path, on = adjacency(e), [], [src], {src}
-            walk = [iter(out.get(src, ()))]
+            ends = np.asarray([src, dst])
+            graph, back = Adjacency(e[:, 0], e[:, 1], e[:, 2], ends), Adjacency(e[:, 1], e[:, 0], None, ends)
+            a, goal = graph.number(ends).tolist()
+            steps = back.levels(np.asarray([goal])).tolist()  # least steps to the goal prune branches that cannot reach it in time
+            found, path, on = [], [a], {a}
+            walk = [iter(graph.of(a))]
             while walk and len(found) < k:
                 for d in walk[-1]:
-                    if d in on or d not in steps or (max_depth is not None and len(path) + steps[d] > max_depth):
+                    if d in on or steps[d] < 0 or (max_depth is not None and len(path) + steps[d] > max_depth):
                         continue
-                    if d == dst:
-                        found.append([*path, d])
+                    if d == goal:
+                        found.append(graph.names[[*path, d]].tolist())
                         if len(found) >= k:
                             break
                         continue
                     path.append(d)
                     on.add(d)
-                    walk.append(iter(out.get(d, ())))
+                    walk.append(iter(graph.of(d)))
                     break
                 else:
                     walk.pop()

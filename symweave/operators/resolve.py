@@ -25,7 +25,8 @@ def sites(calls: DataFrame, definitions: DataFrame) -> DataFrame:
 def call_edges(calls: DataFrame, definitions: DataFrame, expand_calls: bool = True) -> DataFrame:
     """(caller, callee, seq, target, kind): one row for each call site and target; parallel edges stay."""
     wanted = F.col("n_targets") >= 1 if expand_calls else F.col("n_targets") == 1
-    targets = definitions.select(F.struct("symbol", "location").alias("target"))
+    carried = [c for c in ("symbol", "location", "node_id") if c in definitions.columns]
+    targets = definitions.select(F.struct(*carried).alias("target"))
     found = sites(calls, definitions).where(wanted)
     joined = found.join(targets, same_symbol(F.col("callee.symbol"), F.col("target.symbol")))
     return joined.withColumn("kind", F.when(F.col("n_targets") == 1, MUST).otherwise(MAY)).drop("n_targets")
