@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +42,10 @@ class CodeAnalytics:
 
     @property
     def index(self) -> I.SymbolIndex:
+        """The current index; every call that needs one is logged, and fails while there is none."""
         if self._index is None:
             raise RuntimeError("no repository is indexed yet")
+        log.debug("%s asked by %s", self.root, sys._getframe(1).f_code.co_name)
         return self._index
 
     @index.setter
@@ -113,6 +116,9 @@ class CodeAnalytics:
     def get_symbol_info(self, type_: str, name: str, class_name: str | None = None) -> DataFrame:
         return self.index.info().where(I.is_symbol(F.col("symbol"), type_, name, class_name))
 
+    def get_llm_note(self, type_: str, name: str, class_name: str | None = None) -> DataFrame:
+        return self.index.notes(type_, name, class_name)
+
     def find_definitions(self, name: str) -> DataFrame:
         return I.find_definitions(self.index, name)
 

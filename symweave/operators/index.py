@@ -127,6 +127,31 @@ class SymbolIndex:
         c = self.counts()
         return c.agg(F.count("*").alias("n_symbols"), F.coalesce(F.sum("n_definitions"), F.lit(0)).alias("n_definitions"), F.coalesce(F.sum("n_references"), F.lit(0)).alias("n_references"))
 
+    def size(self) -> int:
+        """The number of symbols."""
+        return self.symbols().count()
+
+    def contains(self, type_: str, name: str, class_name: str | None = None) -> bool:
+        return not self.symbols().where(is_symbol(F.col("symbol"), type_, name, class_name)).isEmpty()
+
+    def get(self, type_: str, name: str, class_name: str | None = None):
+        """The document of one symbol; KeyError if there is none."""
+        row = self.info().where(is_symbol(F.col("symbol"), type_, name, class_name)).first()
+        if row is None:
+            raise KeyError(f"{type_} {name} of {class_name}")
+        return row
+
+    def definitions_of(self, type_: str, name: str, class_name: str | None = None) -> DataFrame:
+        """Definitions of a symbol, none where it is absent."""
+        return self.all_definitions().where(is_symbol(F.col("symbol"), type_, name, class_name))
+
+    def references_of(self, type_: str, name: str, class_name: str | None = None) -> DataFrame:
+        return self.all_references().where(is_symbol(F.col("symbol"), type_, name, class_name))
+
+    def notes(self, type_: str, name: str, class_name: str | None = None) -> DataFrame:
+        """(location, llm_note) of a symbol's definitions that have a note."""
+        return self.definitions_of(type_, name, class_name).where("llm_note is not null").select("location", "llm_note")
+
     def __repr__(self) -> str:
         return f"SymbolIndex({self.mode})"
 

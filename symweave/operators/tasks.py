@@ -18,6 +18,7 @@ class TaskList:
     tasks: DataFrame
     submissions: DataFrame
     allow_resubmit: bool = False
+    name: str = "tasks"
 
     def add(self, more: DataFrame) -> TaskList:
         """Append tasks; KeyError if an id is already there."""

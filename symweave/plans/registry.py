@@ -502,3 +502,13 @@ def report_top_files(spark, d):
     from symweave.plans.report import call_graph_report
 
     return call_graph_report(X.part_index(spark, d))["top_files"]
+
+
+@query("index_difference", f"WITH {PARTS}, {_FN} SELECT 'left' AS side, 'definition' AS kind, type, name, class_name, CAST(start_byte AS BIGINT) AS start_byte FROM defs WHERE type = 'function' AND name = (SELECT name FROM asked)")
+def index_difference(spark, d):
+    from symweave.operators.compare import difference
+
+    x = X.part_index(spark, d, "simple")
+    y = x.delete("function", _asked(spark, d, "function"))
+    found = difference(x, I.SymbolIndex(y.definitions, x.references, x.calls, "simple"))
+    return found.select("side", "kind", "symbol.*", F.col("location.start_byte").cast("long").alias("start_byte"))

@@ -151,3 +151,14 @@ def test_calls_belong_to_every_enclosing_definition(spark):
     src = b"def outer():\n    def inner():\n        deep()\n    inner()\n"
     calls = index_files(spark.createDataFrame([("a.py", bytearray(src))], "file_path string, content binary"), "python").calls
     assert sorted((r.caller.symbol.name, r.callee.symbol.name) for r in calls.collect()) == [("inner", "deep"), ("outer", "deep"), ("outer", "inner")]
+
+
+def test_syntax_tree_rows(spark):
+    from symweave.extract.ast_nodes import ast_nodes, extent, histogram, samples
+
+    files = spark.createDataFrame([("a.py", bytearray(b"def f():\n    g(1)\n    g(2)\n    g(3)\n    g(4)\n")), ("bad.py", bytearray(b"def ("))], "file_path string, content binary")
+    nodes = ast_nodes(files)
+    count = {r["node_type"]: r["count"] for r in histogram(nodes).collect()}
+    assert count["Call"] == 4 and count["FunctionDef"] == 1 and list(count) == sorted(count)
+    assert samples(nodes, "Call").count() == 3
+    assert extent(nodes).first().max_depth == 6

@@ -76,7 +76,7 @@ def test_point_queries(index):
 
 def test_shared_location_belongs_to_the_least_symbol(spark, index):
     more = spark.createDataFrame([(FN("Z"), loc("k.c", 3), None, None, 9)], DEFINITIONS)
-    (r,) = I.find_full_definition(index.append(definitions=more), spark.createDataFrame([(loc("k.c", 3),)], DEFINITIONS[["location"]] if False else "location struct<file_path:string,start_lineno:int,start_col:int,end_lineno:int,end_col:int,start_byte:int,end_byte:int>")).collect()
+    (r,) = I.find_full_definition(index.append(definitions=more), spark.createDataFrame([(loc("k.c", 3),)], "location struct<file_path:string,start_lineno:int,start_col:int,end_lineno:int,end_col:int,start_byte:int,end_byte:int>")).collect()
     assert r.symbol.name == "Z"
 
 
@@ -106,6 +106,23 @@ def test_json_round_trip(spark, index, tmp_path):
     assert back.all_definitions().where("doc = 'doc of a'").count() == 1
 
 
+def test_single_symbols_and_differences(spark, index):
+    from symweave.operators import compare
+
+    assert index.size() == 4 and index.contains("method", "a", "K") and not index.contains("method", "a")
+    assert index.get("function", "main").definitions[0].location.start_byte == 10
+    with pytest.raises(KeyError):
+        index.get("function", "nope")
+    assert index.definitions_of("function", "nope").count() == 0 and index.references_of("function", "b").count() == 2
+    assert [r.llm_note.description for r in index.notes("function", "a").collect()] == ["n2"]
+    compare.assert_equal(index, index)
+    less = index.delete("function", "b")
+    assert {(r.side, r.kind) for r in compare.difference(index, less).collect()} == {("left", "reference"), ("left", "call")}
+    assert compare.missing_symbols(index, less).count() == 1 and compare.common_symbols(index, less).count() == 3
+    with pytest.raises(AssertionError):
+        compare.assert_equal(less, index)
+
+
 def test_json_errors(spark, index, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_json(spark, str(tmp_path / "none.json"))
