@@ -31,9 +31,16 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/symweave-{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it again."""
+def few(spark: SparkSession) -> int:
+    """Files for a narrow table: an eighth of the shuffle partitions, as opening and committing a file costs more than its rows."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+
+def materialise(df: DataFrame, tag: str, compression: str = "zstd", files: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it again; ``files`` merges the partitions of a cheap last step."""
     spark, path, schema = df.sparkSession, fresh_path(df.sparkSession, tag), df.schema
+    if files:
+        df = df.coalesce(files)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
