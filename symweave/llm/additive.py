@@ -187,7 +187,7 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = 5, candidates
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
         held: dict = {}
-        for r in part.toLocalIterator():
+        for r in part.collect():  # about QUERY_BLOCK rows
             held[r[0]] = min(held.get(r[0], r[1]), r[1])
         if not held:
             continue

@@ -30,7 +30,7 @@ SIDE = 2
 HIDDEN = 32
 ROUNDS, BATCH, RATE, SEED = 4, 2048, 0.02, 3
 #: Distinct windows that one training task passes over, and the most tasks (each sends one set of weights a round).
-ROWS_A_TASK, MOST_TASKS = 100_000, 32
+ROWS_A_TASK, MOST_TASKS = 100_000, 256
 #: Bytes whose windows are made together.
 GROUP = 2_000_000
 #: Slots of a worker's memory of scored windows (12 bytes each).
@@ -196,7 +196,7 @@ def train(counts: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> WindowNe
                 yield pa.RecordBatch.from_arrays([pa.array([float(n.sum())]), pa.array([own.flat().tobytes()], pa.binary())], names=["weight", "net"])
 
         total, flat = 0.0, np.zeros(net.flat().size)
-        for r in shares.mapInArrow(share, "weight double, net binary").toLocalIterator():
+        for r in shares.mapInArrow(share, "weight double, net binary").collect():  # at most MOST_TASKS sets of 40 thousand weights
             total += r[0]
             flat += r[0] * np.frombuffer(r[1], np.float32)
         net.load((flat / total).astype(np.float32))

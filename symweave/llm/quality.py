@@ -128,7 +128,7 @@ def summed(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], shape:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
     total = np.zeros(shape)
-    for r in rows.coalesce(SUMMERS).mapInArrow(run, "total binary").toLocalIterator():
+    for r in rows.coalesce(SUMMERS).mapInArrow(run, "total binary").collect():  # at most SUMMERS matrices
         total += np.frombuffer(r[0]).reshape(shape)
     return total
 
@@ -232,4 +232,4 @@ def op10_rff_quality(spark, sf_dir: str) -> DataFrame:
     # the fold that calibrates is told by another hash of the id
     labelled = materialise(stats.join(marks, "doc_id").select("stats", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("calibrate")), "labelled")
     found = score(stats, fit(labelled))
-    return found.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
