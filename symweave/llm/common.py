@@ -1,49 +1,16 @@
-"""Helpers shared by the training-data operators.
-
-Intermediate tables are cut from their lineage by writing them to the folder
-that ``spark.checkpoint.dir`` names, which every executor can read; they
-survive the loss of any executor.
-"""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python, so that a batch of long texts stays small.
-ARROW_ROWS = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is set where it is unset (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            found = jdir.get()
-        else:
-            found = "file://" + tempfile.mkdtemp(prefix="symweave-shared-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from symweave.storage import few, fresh_path, materialise, shared_dir, table
 
+__all__ = ["ARROW_ROWS", "few", "fresh_path", "id_bucket", "materialise", "shared_dir", "small_batches", "table", "unit_hash"]
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/symweave-{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it again: a short lineage that outlives executors."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    schema = df.schema
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Rows in one Arrow batch handed to Python, so that a batch of long texts stays small.
+ARROW_ROWS = 1000
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

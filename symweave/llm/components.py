@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symweave.llm.common import materialise
+from symweave.llm.common import few, materialise
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     ever gathered, so a node of any degree is spread by the join. The number of
     rounds grows with the logarithm of the largest component.
     """
-    current = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    files = few(edges.sparkSession)
+    current = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", files=files)
     mark = None
     for _ in range(rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,7 +29,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: smaller neighbours and the node itself move to the least of them
         small = large.join(_least(large), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        current = materialise(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        current = materialise(small.select("e.u", "e.v").where("u <> v").distinct(), "edges", files=files)
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

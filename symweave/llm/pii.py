@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symweave.llm.common import materialise, table
+from symweave.llm.common import few, materialise, table
 
 KEY = "symweave surrogates"
 ROUNDS = 4
@@ -169,19 +169,19 @@ def entities(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def exceptions(found: DataFrame, key: str) -> DataFrame | None:
     """(kind, entity, other) for entities whose first surrogate is a real entity, keyed anew; None where there is none."""
-    first = materialise(found.withColumn("other", permuted(F.col("entity"), F.col("kind"), F.lit(0), key)), "surrogates")
+    first = materialise(found.withColumn("other", permuted(F.col("entity"), F.col("kind"), F.lit(0), key)), "surrogates", files=few(found.sparkSession))
     met = first.select("kind", F.col("entity").alias("other"))
-    bad = materialise(first.join(met, ["kind", "other"], "left_semi").select("kind", "entity"), "met")
+    bad = materialise(first.join(met, ["kind", "other"], "left_semi").select("kind", "entity"), "met", files=few(found.sparkSession))
     if bad.isEmpty():
         return None
     taken = met.unionByName(first.select("kind", "other"))
     settled = None
     for attempt in range(1, ATTEMPTS + 1):
         tried = bad.withColumn("other", permuted(F.col("entity"), F.col("kind"), F.lit(attempt), key)).join(taken, ["kind", "other"], "left_anti")
-        good = materialise(tried.groupBy("kind", "other").agg(F.min("entity").alias("entity")).select("kind", "entity", "other"), "settled")
+        good = materialise(tried.groupBy("kind", "other").agg(F.min("entity").alias("entity")).select("kind", "entity", "other"), "settled", files=few(found.sparkSession))
         settled = good if settled is None else settled.unionByName(good)
         taken = taken.unionByName(good.select("kind", "other"))
-        bad = materialise(bad.join(good, ["kind", "entity"], "left_anti"), "met")
+        bad = materialise(bad.join(good, ["kind", "entity"], "left_anti"), "met", files=few(found.sparkSession))
         if bad.isEmpty():
             break
     # what is left belongs to shapes that the corpus exhausts: the first permutation still keeps those distinct

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symweave.llm.common import materialise, small_batches, table
+from symweave.llm.common import few, materialise, small_batches, table
 from symweave.llm.components import components
 from symweave.llm.decontaminate import words_of
 
@@ -41,12 +41,14 @@ HASH_SEED = 42
 #: Bits in which the five-word fingerprints of copies may differ: a similarity of 0.8 leaves 10 of 64 on average.
 SLACK = 16
 #: Seeds of the word fingerprints of copies; each catches most copies, together nearly all.
-COPY_SEEDS = (1, 2, 3)
+COPY_SEEDS = (1, 2, 3, 4)
 COPY_SHINGLE = 5
 #: Fingerprints whose own top bits name one bucket, as expected.
 BUCKET = 1024
 #: Least depth: small inputs have as many buckets as a cluster has cores, not fewer and larger ones.
 LEAST_DEPTH = 8
+#: Fingerprints under one bucket's bits from which its variants are dealt over several tasks, and how many each then takes.
+HEAVY, SHARE = 8 * BUCKET, 4 * BUCKET
 #: Keys of dropped documents that are broadcast (16 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_KEYS = 4_000_000
 #: Variants held at once; a larger bucket is walked in slices by further bits.
@@ -93,10 +95,19 @@ def depth_for(count: int, bucket: int = BUCKET) -> int:
     return max(LEAST_DEPTH, min(40, math.ceil(math.log2(max(1, count) / bucket))))
 
 
-def routed(nodes: DataFrame, depth: int, radius: int) -> DataFrame:
-    """(bucket, fp, ...): each row once for every bucket that one of its fingerprint's variants falls into."""
+def heavy_buckets(nodes: DataFrame, depth: int) -> dict[int, int]:
+    """Buckets whose own fingerprints are many (a dense cluster), with the number of tasks that share their variants."""
+    own = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
+    rows = nodes.groupBy(own.alias("b")).count().where(F.col("count") > HEAVY).collect()  # one row for each HEAVY fingerprints at most
+    return {r[0]: -(-r[1] // SHARE) for r in rows}
+
+
+def routed(nodes: DataFrame, depth: int, radius: int, heavy: dict[int, int] | None = None) -> DataFrame:
+    """(bucket, part, fp, ...): each row once for every bucket that one of its fingerprint's variants falls into, and each part of it."""
     flips = masks(0, depth, radius // 2)
     names = nodes.columns
+    crowded = np.asarray(sorted(heavy or {}), np.int64)
+    parts = np.asarray([heavy[b] for b in crowded.tolist()], np.int64) if heavy else crowded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,10 +115,16 @@ def routed(nodes: DataFrame, depth: int, radius: int) -> DataFrame:
             for a in range(0, len(fps), 4096):
                 part = fps[a : a + 4096]
                 top = part >> np.uint64(64 - depth) if depth else np.zeros(len(part), np.uint64)
-                owner = pa.array(np.repeat(np.arange(a, a + len(part)), len(flips)))
-                yield pa.RecordBatch.from_arrays([pa.array((top[:, None] ^ flips).ravel().view(np.int64)), *[c.take(owner) for c in batch.columns]], names=["bucket", *names])
+                owner, bucket = np.repeat(np.arange(a, a + len(part)), len(flips)), (top[:, None] ^ flips).ravel().view(np.int64)
+                piece = np.zeros(len(bucket), np.int32)
+                if len(crowded):
+                    at = np.minimum(np.searchsorted(crowded, bucket), len(crowded) - 1)
+                    times = np.where(crowded[at] == bucket, parts[at], 1)
+                    piece = (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
+                    owner, bucket = np.repeat(owner, times), np.repeat(bucket, times)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(piece), *[c.take(pa.array(owner)) for c in batch.columns]], names=["bucket", "part", *names])
 
-    return nodes.mapInArrow(run, "bucket long, " + ", ".join(f"{n} long" for n in names))
+    return nodes.mapInArrow(run, "bucket long, part int, " + ", ".join(f"{n} long" for n in names))
 
 
 def slices(fps: np.ndarray, bucket: int, depth: int, reach: int) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -129,13 +146,16 @@ def slices(fps: np.ndarray, bucket: int, depth: int, reach: int) -> Iterator[lis
     yield found
 
 
-def meetings(fps: np.ndarray, bucket: int, depth: int, radius: int, checks: np.ndarray | None = None, slack: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def meetings(fps: np.ndarray, bucket: int, depth: int, radius: int, checks: np.ndarray | None = None, slack: int = 64, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Verified links (numbers of fingerprints) between owners of one variant: to its first owner, or to the first that is near enough."""
     left, right = [], []
     for groups in slices(fps, bucket, depth, radius // 2):
         if sum(len(rows) for rows, _, _ in groups) < 2:
             continue
+        mix = lambda v: (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
         variants = np.concatenate([(base[:, None] ^ m).ravel() for _, base, m in groups])
+        if parts > 1:  # of a crowded bucket each part takes its share of the variants
+            variants = variants[mix(variants) % np.uint64(parts) == part]
         variants.sort()
         shared = np.unique(variants[1:][variants[1:] == variants[:-1]])
         del variants
@@ -143,7 +163,6 @@ def meetings(fps: np.ndarray, bucket: int, depth: int, radius: int, checks: np.n
             continue
         # a second walk over the variants tells the owners of the shared ones; a bit table spares most searches
         seen = np.zeros(1 << 20, bool)
-        mix = lambda v: (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
         seen[mix(shared)] = True
         at, who = [], []
         for rows, base, m in groups:
@@ -191,32 +210,34 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, slack: i
     the id, and linked nodes must also have checks within ``slack`` bits.
     """
     depth = depth_for(nodes.count(), bucket)
+    heavy = heavy_buckets(nodes, depth)
     checked = "check" in nodes.columns
 
     def collide(group: pa.Table) -> pa.Table:
-        fps, at = group.column("fp").to_numpy().view(np.uint64), int(group.column("bucket")[0].as_py())
+        fps, at, part = group.column("fp").to_numpy().view(np.uint64), group.column("bucket")[0].as_py(), group.column("part")[0].as_py()
+        parts = heavy.get(at, 1)
         if checked:
             names = group.column("id").to_numpy()
             order = np.argsort(names)
             names, fps = names[order], fps[order]
-            u, v = meetings(fps, at, depth, radius, group.column("check").to_numpy().view(np.uint64)[order], slack)
+            u, v = meetings(fps, at, depth, radius, group.column("check").to_numpy().view(np.uint64)[order], slack, part, parts)
         else:
             fps = np.unique(fps)
             names = fps.view(np.int64)
-            u, v = meetings(fps, at, depth, radius)
+            u, v = meetings(fps, at, depth, radius, part=part, parts=parts)
         label = local_components(len(fps), u, v)
         moved = np.flatnonzero(label != np.arange(len(fps)))
         return pa.table({"u": names[moved], "v": names[label[moved]]})
 
-    return routed(nodes.select("fp", "check", "id") if checked else nodes.select("fp"), depth, radius).groupBy("bucket").applyInArrow(collide, "u long, v long")
+    return routed(nodes.select("fp", "check", "id") if checked else nodes.select("fp"), depth, radius, heavy).groupBy("bucket", "part").applyInArrow(collide, "u long, v long")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component): component is the smallest key reachable over links of at most ``radius`` bits."""
-    rows = materialise(fingerprints(documents, shingle, key, text), "fingerprints")
-    nodes = materialise(rows.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
-    found = materialise(links(nodes, radius), "links")
-    roots = components(found)
+    files = few(documents.sparkSession)
+    rows = materialise(fingerprints(documents, shingle, key, text).repartition(files), "fingerprints")
+    nodes = materialise(rows.groupBy("fp").agg(F.min(key).alias("first")), "nodes", files=files)
+    roots = components(links(nodes, radius))
     joined = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("m", "fp"))
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
     of_fp = joined.join(least, "root").select("fp", "component")
@@ -261,11 +282,14 @@ def copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             found = np.asarray([copy_fingerprints(b) for b in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(len(names))]], names=[key, *names])
 
-    rows = materialise(documents.select(key, text).where(F.col(key).isNotNull()).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names)), "copy-fingerprints")
-    classes = materialise(rows.groupBy(*names).agg(F.min(key).alias("id")), "classes")
+    files = few(documents.sparkSession)
+    schema = f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names)
+    rows = materialise(documents.select(key, text).where(F.col(key).isNotNull()).mapInArrow(run, schema).repartition(files), "copy-fingerprints")
+    classes = materialise(rows.groupBy(*names).agg(F.min(key).alias("id")), "classes", files=files)
     found = None
     for s in COPY_SEEDS:
-        part = materialise(links(classes.select(F.col(f"f{s}").alias("fp"), "check", F.col("id").cast("long"))), "links")
+        # written one seed at a time, so that the next one's shuffle does not lie beside this one's
+        part = materialise(links(classes.select(F.col(f"f{s}").alias("fp"), "check", F.col("id").cast("long"))).repartition(files), "links")
         found = part if found is None else found.unionByName(part)
     roots = components(found).withColumnRenamed("u", "id")
     named = classes.join(roots, "id", "left").withColumn("component", F.coalesce("m", "id")).select(*names, "component")
@@ -274,7 +298,7 @@ def copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of copies, that with the smallest key, with all its columns; of rows that repeat a key, one."""
-    groups = materialise(copies(documents, key, text), "copies")
+    groups = materialise(copies(documents, key, text), "copies", files=few(documents.sparkSession))
     gone = groups.where(F.col(key) != F.col("component")).select(key).distinct()
     if gone.count() <= BROADCAST_KEYS:  # texts then stay where they are
         gone = F.broadcast(gone)

@@ -105,8 +105,10 @@ def test_balls_meet_in_one_bucket(seed, held, monkeypatch):
     assert simhash.local_components(len(fps), u, v).tolist() == brute_components(fps, 4)
 
 
-@pytest.mark.parametrize("bucket", [4, 1024])
-def test_buckets_find_every_component(spark, bucket):
+@pytest.mark.parametrize(("bucket", "heavy"), [(4, 8192), (1024, 8192), (1024, 0)])
+def test_buckets_find_every_component(spark, bucket, heavy, monkeypatch):
+    monkeypatch.setattr(simhash, "HEAVY", heavy)  # at 0 every bucket with fingerprints of its own is dealt over tasks
+    monkeypatch.setattr(simhash, "SHARE", 1)
     fps = nearby(5, 90)
     nodes = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
     roots = {r.u: r.m for r in components(simhash.links(nodes, bucket=bucket)).collect()}
