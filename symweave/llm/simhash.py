@@ -38,11 +38,11 @@ from symweave.llm.decontaminate import words_of
 SHINGLE = 4
 RADIUS = 4
 HASH_SEED = 42
-#: Bits in which the five-word fingerprints of copies may differ: a similarity of 0.8 leaves 10 of 64 on average.
-SLACK = 16
-#: Seeds of the word fingerprints of copies; each catches most copies, together nearly all.
-COPY_SEEDS = (1, 2, 3, 4)
+#: Words of a shingle of near copies, and the similarity (Jaccard, of sets of shingles) from which texts are near copies.
 COPY_SHINGLE = 5
+NEAR = (4, 5)
+#: Bands of least shingle hashes: texts of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS, 0.9996 at 0.8.
+BANDS, ROWS = 20, 5
 #: Fingerprints whose own top bits name one bucket, as expected.
 BUCKET = 1024
 #: Least depth: small inputs have as many buckets as a cluster has cores, not fewer and larger ones.
@@ -146,7 +146,7 @@ def slices(fps: np.ndarray, bucket: int, depth: int, reach: int) -> Iterator[lis
     yield found
 
 
-def meetings(fps: np.ndarray, bucket: int, depth: int, radius: int, checks: np.ndarray | None = None, slack: int = 64, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def meetings(fps: np.ndarray, bucket: int, depth: int, radius: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Verified links (numbers of fingerprints) between owners of one variant: to its first owner, or to the first that is near enough."""
     left, right = [], []
     for groups in slices(fps, bucket, depth, radius // 2):
@@ -179,8 +179,6 @@ def meetings(fps: np.ndarray, bucket: int, depth: int, radius: int, checks: np.n
         while len(at):
             first = who[np.searchsorted(at, at, side="left")]
             near = np.bitwise_count(fps[first] ^ fps[who]) <= radius
-            if checks is not None:
-                near &= np.bitwise_count(checks[first] ^ checks[who]) <= slack
             linked = near & (first != who)
             pair = np.unique(first[linked] * len(fps) + who[linked])
             left.append(pair // len(fps))
@@ -203,33 +201,21 @@ def local_components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             return label
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, slack: int = SLACK) -> DataFrame:
-    """(u, v) between nodes of one component; at most one a node and bucket.
-
-    A node is its fingerprint (``fp``); with the columns ``check`` and ``id`` it is
-    the id, and linked nodes must also have checks within ``slack`` bits.
-    """
+def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """(u, v) between fingerprints of one component; at most one a fingerprint and bucket."""
     depth = depth_for(nodes.count(), bucket)
     heavy = heavy_buckets(nodes, depth)
-    checked = "check" in nodes.columns
 
     def collide(group: pa.Table) -> pa.Table:
         fps, at, part = group.column("fp").to_numpy().view(np.uint64), group.column("bucket")[0].as_py(), group.column("part")[0].as_py()
-        parts = heavy.get(at, 1)
-        if checked:
-            names = group.column("id").to_numpy()
-            order = np.argsort(names)
-            names, fps = names[order], fps[order]
-            u, v = meetings(fps, at, depth, radius, group.column("check").to_numpy().view(np.uint64)[order], slack, part, parts)
-        else:
-            fps = np.unique(fps)
-            names = fps.view(np.int64)
-            u, v = meetings(fps, at, depth, radius, part=part, parts=parts)
+        fps = np.unique(fps)
+        names = fps.view(np.int64)
+        u, v = meetings(fps, at, depth, radius, part, heavy.get(at, 1))
         label = local_components(len(fps), u, v)
         moved = np.flatnonzero(label != np.arange(len(fps)))
         return pa.table({"u": names[moved], "v": names[label[moved]]})
 
-    return routed(nodes.select("fp", "check", "id") if checked else nodes.select("fp"), depth, radius, heavy).groupBy("bucket", "part").applyInArrow(collide, "u long, v long")
+    return routed(nodes.select("fp"), depth, radius, heavy).groupBy("bucket", "part").applyInArrow(collide, "u long, v long")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,46 +240,79 @@ def majority(hashes: list[int]) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def copy_fingerprints(raw: bytes | None) -> list[int]:
-    """The five-word fingerprint of a text, then one fingerprint of its set of words for each seed; case and punctuation do not count."""
-    words = words_of(raw)
-    if not words:
-        return [0] * (1 + len(COPY_SEEDS))
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """The set of hashed shingles of a text, ascending."""
     digest, k = xxhash.xxh64_intdigest, COPY_SHINGLE
-    shingles = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
-    own = set(words)
-    return [majority([digest(x, 0) for x in shingles]), *[majority([digest(w, seed) for w in own]) for seed in COPY_SEEDS]]
+    return np.unique(np.asarray([digest(b" ".join(words[i : i + k]), 0) for i in range(max(1, len(words) - k + 1))], np.uint64))
 
 
-def copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, component): groups of copies and near copies, for filtering.
+def text_number(words: list[bytes]) -> int:
+    """64 bits that name a sequence of words; zero names that of no words."""
+    return xxhash.xxh64_intdigest(b" ".join(words), 1) if words else 0
 
-    Shingle fingerprints of texts that share four fifths of their five-word
-    shingles differ in about ten bits, too many for a ball. The fingerprints that
-    meet here are those of the set of words, which few edits hardly change, under
-    several seeds; links must also have five-word fingerprints within ``SLACK``.
-    """
+
+_TURNS = np.random.default_rng(HASH_SEED).integers(1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of a set of hashes under each of BANDS * ROWS orders."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[a : a + 2048, None] * _TURNS[0] + _TURNS[1]).min(0), out=least)
+    return least
+
+
+def band_hashes(least: np.ndarray) -> np.ndarray:
+    """One number for each band of each row of least hashes: [row, band]."""
+    rows = (least ^ (least >> np.uint64(29))) * _TURNS[1]
+    mixed = rows.reshape(-1, BANDS, ROWS).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def texts(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, node, bands): the number of each text and, of texts with words, its band hashes."""
     small_batches(documents.sparkSession, 500)
     kind = documents.schema[key].dataType.simpleString()
-    names = ["check", *[f"f{s}" for s in COPY_SEEDS]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.asarray([copy_fingerprints(b) for b in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(len(names))]], names=[key, *names])
+            words = [words_of(b) for b in batch.column(1).cast(pa.binary()).to_pylist()]
+            nodes = np.asarray([text_number(w) for w in words], np.uint64).view(np.int64)
+            least = [least_hashes(shingle_hashes(w)) for w in words if w]
+            bands = band_hashes(np.stack(least)).view(np.int64) if least else np.zeros((0, BANDS), np.int64)
+            ends = np.cumsum([0, *[BANDS if w else 0 for w in words]], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))], names=[key, "node", "bands"])
 
-    files = few(documents.sparkSession)
-    schema = f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names)
-    rows = materialise(documents.select(key, text).where(F.col(key).isNotNull()).mapInArrow(run, schema).repartition(files), "copy-fingerprints")
-    classes = materialise(rows.groupBy(*names).agg(F.min(key).alias("id")), "classes", files=files)
-    found = None
-    for s in COPY_SEEDS:
-        # written one seed at a time, so that the next one's shuffle does not lie beside this one's
-        part = materialise(links(classes.select(F.col(f"f{s}").alias("fp"), "check", F.col("id").cast("long"))).repartition(files), "links")
-        found = part if found is None else found.unionByName(part)
-    roots = components(found).withColumnRenamed("u", "id")
-    named = classes.join(roots, "id", "left").withColumn("component", F.coalesce("m", "id")).select(*names, "component")
-    return rows.join(named, names).select(key, F.col("component").cast(kind).alias("component"))
+    return documents.select(key, text).where(F.col(key).isNotNull()).mapInArrow(run, f"`{key}` {kind}, node long, bands array<long>")
+
+
+def candidates(bands: DataFrame) -> DataFrame:
+    """(u, v): every node with the least node of each band it shares."""
+    shared = bands.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "v")
+    return bands.join(shared, "band").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component): groups of copies and near copies, for filtering.
+
+    Texts of equal words are one node. Shingle fingerprints of texts that share
+    four fifths of their five-word shingles differ in about ten bits, too many for
+    a ball. Nodes meet where a band of least hashes of their shingles agrees, which
+    depends on the similarity only and not on the kind of edit.
+    """
+    spark = documents.sparkSession
+    files = few(spark)
+    kind = documents.schema[key].dataType.simpleString()
+    rows = materialise(texts(documents, key, text).repartition(files), "texts")
+    nodes = materialise(rows.groupBy("node").agg(F.min(key).alias("first"), F.any_value("bands").alias("bands")), "nodes", files=files)
+    bands = nodes.select("node", F.explode("bands").alias("band"))
+    found = materialise(candidates(bands), "candidates", files=files)
+    roots = components(found).withColumnRenamed("u", "node")
+    joined = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("m", "node"))
+    least = joined.groupBy("root").agg(F.min("first").alias("component"))
+    of_node = joined.join(least, "root").select("node", "component")
+    return rows.select(key, "node").join(of_node, "node").select(key, F.col("component").cast(kind).alias("component"))
 
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -172,6 +172,23 @@ def test_copies_go_and_others_stay(spark):
     assert kept.columns == ["doc_id", "text", "m", "component"]
 
 
+def block_edits(words, rng):
+    """Near copies of one text, by kind of edit, that keep over four fifths of its five-word shingles."""
+    block = [f"x{rng.random()}" for _ in range(len(words) // 6)]
+    at = rng.randrange(len(words))
+    return {"appended": words + block, "prefixed": block + words, "missing": words[: len(words) * 5 // 6], "inserted": words[:at] + block[: len(block) - 5] + words[at:]}
+
+
+def test_near_copies_by_block_edits_are_found(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(150, 600))]
+        rows += [(10 * i + n, " ".join(w)) for n, w in enumerate([words, *block_edits(words, rng).values()])]
+    got = {r.doc_id: r.component for r in simhash.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == i // 10 * 10 for i, _ in rows) >= len(rows) - 1 and all(got[i] // 10 == i // 10 for i, _ in rows)
+
+
 # ---- decontamination -------------------------------------------------------
 
 
