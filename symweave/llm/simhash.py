@@ -293,13 +293,61 @@ def candidates(bands: DataFrame) -> DataFrame:
     return bands.join(shared, "band").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
+def shingle_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, shingles): the set of hashed shingles of each wanted (node, first), eight bytes each."""
+    small_batches(documents.sparkSession, 200)
+    wanted = wanted.select("node", F.col("first").alias(key))
+    if wanted.count() <= BROADCAST_KEYS:  # texts then stay where they are
+        wanted = F.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets = [], []
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                words = words_of(raw)
+                if np.uint64(text_number(words)).astype(np.int64) == node:  # rows that repeat a key may have other texts
+                    nodes.append(node)
+                    sets.append(shingle_hashes(words).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    found = documents.select(key, text).join(wanted, key).select("node", text).mapInArrow(run, "node long, shingles binary")
+    return materialise(found.dropDuplicates(["node"]), "shingles")
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of hashes, ascending, have the similarity of near copies."""
+    if min(len(a), len(b)) * NEAR[1] < max(len(a), len(b)) * NEAR[0]:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * NEAR[1] >= (len(a) + len(b) - both) * NEAR[0]
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (u, v) whose sets of shingles are similar; a node that many pairs share is dealt over tasks."""
+    small_batches(pairs.sparkSession, 200)
+    often = pairs.groupBy("v").count().where(F.col("count") > SHARE).select("v", F.ceil(F.col("count") / SHARE).cast("int").alias("parts"))
+    often = F.broadcast(often)  # one row for each SHARE pairs at most
+    parts = F.coalesce("parts", F.lit(1))
+    left = pairs.join(often, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), parts).cast("int").alias("part")).join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")).join(often, "v", "left").select("v", "b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(i).to_pylist() for i in (2, 3))
+            keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], pa.bool_())
+            yield batch.select([0, 1]).filter(keep)
+
+    return left.join(right, ["v", "part"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
 def copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component): groups of copies and near copies, for filtering.
 
     Texts of equal words are one node. Shingle fingerprints of texts that share
     four fifths of their five-word shingles differ in about ten bits, too many for
     a ball. Nodes meet where a band of least hashes of their shingles agrees, which
-    depends on the similarity only and not on the kind of edit.
+    depends on the similarity only and not on the kind of edit; a link counts if the
+    sets themselves have the similarity ``NEAR``.
     """
     spark = documents.sparkSession
     files = few(spark)
@@ -307,7 +355,10 @@ def copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = materialise(texts(documents, key, text).repartition(files), "texts")
     nodes = materialise(rows.groupBy("node").agg(F.min(key).alias("first"), F.any_value("bands").alias("bands")), "nodes", files=files)
     bands = nodes.select("node", F.explode("bands").alias("band"))
-    found = materialise(candidates(bands), "candidates", files=files)
+    tried = materialise(candidates(bands), "candidates", files=files)
+    met = tried.select(F.col("u").alias("node")).unionByName(tried.select(F.col("v").alias("node"))).distinct()
+    sets = shingle_sets(documents, materialise(nodes.select("node", "first").join(met, "node"), "met", files=files), key, text)
+    found = materialise(verified(tried, sets), "links")
     roots = components(found).withColumnRenamed("u", "node")
     joined = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("m", "node"))
     least = joined.groupBy("root").agg(F.min("first").alias("component"))

@@ -174,7 +174,7 @@ def test_copies_go_and_others_stay(spark):
 
 def block_edits(words, rng):
     """Near copies of one text, by kind of edit, that keep over four fifths of its five-word shingles."""
-    block = [f"x{rng.random()}" for _ in range(len(words) // 6)]
+    block = [f"x{rng.randrange(10**9)}" for _ in range(len(words) // 6)]
     at = rng.randrange(len(words))
     return {"appended": words + block, "prefixed": block + words, "missing": words[: len(words) * 5 // 6], "inserted": words[:at] + block[: len(block) - 5] + words[at:]}
 
@@ -189,6 +189,19 @@ def test_near_copies_by_block_edits_are_found(spark):
     assert sum(got[i] == i // 10 * 10 for i, _ in rows) >= len(rows) - 1 and all(got[i] // 10 == i // 10 for i, _ in rows)
 
 
+def test_texts_below_the_similarity_stay(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(12):  # the same set of words, a third of them moved; then one more block of them
+        words = [f"w{i}-{rng.randrange(400)}" for _ in range(600)]
+        moved = words[:200]
+        rng.shuffle(moved)
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(moved + words[200:])), (10 * i + 2, " ".join(words[:430]))]
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [i for i, _ in rows]
+    a = np.arange(100, dtype=np.uint64)
+    assert simhash.similar(a, a[:80]) and not simhash.similar(a, a[:79]) and not simhash.similar(a[:90], a[11:])
+
+
 # ---- decontamination -------------------------------------------------------
 
 
