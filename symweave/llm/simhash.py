@@ -322,14 +322,19 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * NEAR[1] >= (len(a) + len(b) - both) * NEAR[0]
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (u, v) whose sets of shingles are similar; a node that many pairs share is dealt over tasks."""
-    small_batches(pairs.sparkSession, 200)
-    often = pairs.groupBy("v").count().where(F.col("count") > SHARE).select("v", F.ceil(F.col("count") / SHARE).cast("int").alias("parts"))
+def with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str, other: str, name: str) -> DataFrame:
+    """``rows`` of ``pairs`` with the set of one side; a node that many pairs share is dealt over tasks."""
+    often = pairs.groupBy(side).count().where(F.col("count") > SHARE).select(side, F.ceil(F.col("count") / SHARE).cast("int").alias("parts"))
     often = F.broadcast(often)  # one row for each SHARE pairs at most
     parts = F.coalesce("parts", F.lit(1))
-    left = pairs.join(often, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), parts).cast("int").alias("part")).join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")).join(often, "v", "left").select("v", "b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = rows.join(often, side, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
+    held = sets.select(F.col("node").alias(side), F.col("shingles").alias(name)).join(often, side, "left").select(side, name, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.join(held, [side, "part"]).drop("part")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (u, v) whose sets of shingles are similar."""
+    small_batches(pairs.sparkSession, 200)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,7 +342,24 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select([0, 1]).filter(keep)
 
-    return left.join(right, ["v", "part"]).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    both = with_sets(with_sets(pairs, pairs, sets, "u", "v", "a"), pairs, sets, "v", "u", "b")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def untried(bands: DataFrame, tried: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v) that share a band, are not of one component yet and were not compared: a node that was not
+    similar to the least of a band may be similar to another node there."""
+    crowd = bands.groupBy("band").count().where("count > 2").select("band")
+    held = bands.join(crowd, "band", "left_semi").join(roots, "node", "left").select("band", "node", F.coalesce("m", "node").alias("root"))
+    mixed = held.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
+    held = materialise(held.join(mixed, "band", "left_semi"), "mixed", files=few(bands.sparkSession))
+    each = held.select("band", "root").distinct()
+    # components of a band meet first, then their members, so that rows are made for members of different components only
+    meet = each.withColumnRenamed("root", "r").join(each.withColumnRenamed("root", "q"), "band").where("r < q")
+    left = meet.join(held.select("band", F.col("root").alias("r"), F.col("node").alias("u")), ["band", "r"]).select("band", "q", "u")
+    both = left.join(held.select("band", F.col("root").alias("q"), F.col("node").alias("v")), ["band", "q"])
+    pairs = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return pairs.join(tried, ["u", "v"], "left_anti")
 
 
 def copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -356,10 +378,13 @@ def copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     nodes = materialise(rows.groupBy("node").agg(F.min(key).alias("first"), F.any_value("bands").alias("bands")), "nodes", files=files)
     bands = nodes.select("node", F.explode("bands").alias("band"))
     tried = materialise(candidates(bands), "candidates", files=files)
-    met = tried.select(F.col("u").alias("node")).unionByName(tried.select(F.col("v").alias("node"))).distinct()
+    met = bands.join(bands.groupBy("band").count().where("count > 1").select("band"), "band", "left_semi").select("node").distinct()
     sets = shingle_sets(documents, materialise(nodes.select("node", "first").join(met, "node"), "met", files=files), key, text)
-    found = materialise(verified(tried, sets), "links")
+    found = materialise(verified(tried, sets), "links", files=files)
     roots = components(found).withColumnRenamed("u", "node")
+    more = materialise(untried(bands, tried, roots), "candidates", files=files)
+    if not more.isEmpty():
+        roots = components(found.unionByName(materialise(verified(more, sets), "links", files=files))).withColumnRenamed("u", "node")
     joined = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("m", "node"))
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
     of_node = joined.join(least, "root").select("node", "component")

@@ -202,6 +202,19 @@ def test_texts_below_the_similarity_stay(spark):
     assert simhash.similar(a, a[:80]) and not simhash.similar(a, a[:79]) and not simhash.similar(a[:90], a[11:])
 
 
+def test_every_similar_pair_of_a_band_is_linked(spark):
+    # in one band 0 and 1 are similar, 1 and 2 too, 0 and 2 are not; 3 and 4 are similar to each other only
+    base = np.arange(100, dtype=np.uint64)
+    sets = {0: base, 1: base[12:], 2: base[24:], 3: base + np.uint64(1000), 4: base[5:] + np.uint64(1000)}
+    bands = spark.createDataFrame([(n, 7) for n in sets], "node long, band long")
+    held = spark.createDataFrame([(n, x.tobytes()) for n, x in sets.items()], "node long, shingles binary")
+    tried = simhash.candidates(bands)
+    links = simhash.verified(tried, held)
+    assert [(r.u, r.v) for r in links.collect()] == [(1, 0)]
+    more = simhash.untried(bands, tried, components(links).withColumnRenamed("u", "node"))
+    assert sorted((r.u, r.v) for r in simhash.verified(more, held).collect()) == [(2, 1), (4, 3)]
+
+
 # ---- decontamination -------------------------------------------------------
 
 
