@@ -51,13 +51,14 @@ ALPHABETS = (
 )
 HEX = "0123456789abcdef"
 
+_NAMES = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
 _GAP = r"[\s.#%&*$!-]{0,4}"
 _TITLE = "(?:" + "|".join(TITLES) + r")\.?\s"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![\p{L}\p{N}])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_/+.-]{6,}+",
+    "secret": r"(?<![\p{L}\p{N}])" + _NAMES + r"\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_/+.-]{6,}+",
     "hex": r"(?<![\p{L}\p{N}])(?=[a-fA-F]{0,40}\d)[0-9a-fA-F]{18,}+(?![\p{L}\p{N}])",
     "phone": rf"(?<![\p{{L}}\d])\+?\d{{1,3}}{_GAP}\(\d{{2,4}}\){_GAP}\d{{3}}{_GAP}\d{{4}}(?!\d)|(?<![\p{{L}}\d])(?:\+\d{{1,3}}[ .-])?\(?\d{{3}}\)?[ .-]\d{{3}}[ .-]\d{{4}}(?!\d)|(?<!\d)\d{{3}}-\d{{2}}-\d{{4}}(?!\d)",
     "card": r"(?<![\p{L}\d])(?:\d[ -]?){12,18}\d(?![\p{L}\d])",
@@ -66,7 +67,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(PATTERNS.values())
 #: Texts without any of these cannot hold an entity.
-HINT = r"[@0-9]|" + _TITLE
+HINT = r"[@0-9]|AKIA|ASIA|" + _NAMES + "|" + _TITLE
 
 
 def kind_of(m: Column) -> Column:
