@@ -1,7 +1,8 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-One pattern finds e-mail addresses, IP addresses, card and account numbers,
-telephone numbers, access keys, secrets after their names, long hexadecimal
+One pattern finds e-mail addresses, IP addresses of both versions, card and
+account numbers, telephone numbers (3-3-4 and 3-2-4 digits, and 7 to 15 digits
+in any grouping after a plus sign), access keys, secrets after their names, long hexadecimal
 tokens, and names after a title. Each entity is replaced by a surrogate of the
 same shape: a keyed Feistel permutation shifts every character within its own
 alphabet (digits, letters of one script and case, hexadecimal digits, whole
@@ -54,26 +55,29 @@ HEX = "0123456789abcdef"
 _NAMES = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
 _GAP = r"[\s.#%&*$!-]{0,4}"
 _TITLE = "(?:" + "|".join(TITLES) + r")\.?\s"
+_H = "[0-9a-fA-F]{1,4}"
+_TAIL = rf"(?:(?:\d{{1,3}}\.){{3}}\d{{1,3}}|{_H})"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d])",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_H}:){{6,7}}{_TAIL}|{_H}(?::{_H}){{0,6}}::(?:(?:{_H}:){{0,6}}{_TAIL})?|::(?:{_H}:){{0,6}}{_TAIL})(?![\p{{L}}\p{{N}}:]|\.\d)",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?<![\p{L}\p{N}])" + _NAMES + r"\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_/+.-]{6,}+",
     "hex": r"(?<![\p{L}\p{N}])(?=[a-fA-F]{0,40}\d)[0-9a-fA-F]{18,}+(?![\p{L}\p{N}])",
-    "phone": rf"(?<![\p{{L}}\d])\+?\d{{1,3}}{_GAP}\(\d{{2,4}}\){_GAP}\d{{3}}{_GAP}\d{{4}}(?!\d)|(?<![\p{{L}}\d])(?:\+\d{{1,3}}[ .-])?\(?\d{{3}}\)?[ .-]\d{{3}}[ .-]\d{{4}}(?!\d)|(?<!\d)\d{{3}}-\d{{2}}-\d{{4}}(?!\d)",
+    "phone": rf"(?<![\p{{L}}\d])\+?\d{{1,3}}{_GAP}\(\d{{2,4}}\){_GAP}\d{{3}}{_GAP}\d{{4}}(?!\d)|(?<![\p{{L}}\d])(?:\+\d{{1,3}}[ .-])?\(?\d{{3}}\)?[ .-]\d{{3}}[ .-]\d{{4}}(?!\d)|(?<!\d)\d{{3}}-\d{{2}}-\d{{4}}(?!\d)|(?<![\p{{L}}\d+])\+\d(?:[ .()/-]{{0,3}}\d){{6,14}}(?!\d)",
     "card": r"(?<![\p{L}\d])(?:\d[ -]?){12,18}\d(?![\p{L}\d])",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
     "person": rf"(?<!\p{{L}}){_TITLE}\p{{Lu}}\p{{Ll}}++(?:\s\p{{Lu}}\p{{Ll}}++)?",
 }
 PATTERN = "|".join(PATTERNS.values())
 #: Texts without any of these cannot hold an entity.
-HINT = r"[@0-9]|AKIA|ASIA|" + _NAMES + "|" + _TITLE
+HINT = r"[@0-9]|AKIA|ASIA|:[0-9a-fA-F:]|" + _NAMES + "|" + _TITLE
 
 
 def kind_of(m: Column) -> Column:
     """The type of a found entity, told by its form."""
     found = F.when(m.rlike("^(?:" + PATTERNS["email"] + ")$"), "email")
-    for name in ("ip", "key", "secret", "person", "iban"):
+    for name in ("ip", "ipv6", "key", "secret", "person", "iban"):
         found = found.when(m.rlike("^(?:" + PATTERNS[name] + ")$"), name)
     digits = F.length(F.regexp_replace(m, r"\D", ""))
     return found.when((digits >= 13) & m.rlike(r"^[\d -]+$"), "card").when(m.rlike("^[0-9a-fA-F]+$"), "hex").otherwise("phone")
@@ -110,7 +114,7 @@ def _luhn(digits: Column) -> Column:
 
 def canonical(m: Column, kind: Column) -> Column:
     """What all mentions of one entity have in common: letter case and gaps do not count."""
-    return F.when(kind.isin("email", "hex"), F.lower(m)).when(kind.isin("phone", "card"), F.regexp_replace(m, r"\D", "")).otherwise(m)
+    return F.when(kind.isin("email", "hex", "ipv6"), F.lower(m)).when(kind.isin("phone", "card"), F.regexp_replace(m, r"\D", "")).otherwise(m)
 
 
 def permuted(entity: Column, kind: Column, attempt: Column, key: str) -> Column:
@@ -126,11 +130,12 @@ def permuted(entity: Column, kind: Column, attempt: Column, key: str) -> Column:
     )
     stop = F.when(kind == "email", F.length(entity) - F.length(F.regexp_extract(entity, r"\.[^.]*$", 0))).when(kind == "card", F.length(entity) - 1).otherwise(F.length(entity))
     chars = F.split(entity, "")
-    hexed = (kind == "hex") | ((kind == "secret") & entity.rlike(r"[=:]\s*[\"']?[0-9a-f]+$"))
+    dotted = F.length(entity) - F.length(F.regexp_extract(entity, r"[^:]*\.[^:]*$", 0))  # an IPv6 address may end in decimal octets
+    hexed = kind.isin("hex", "ipv6") | ((kind == "secret") & entity.rlike(r"[=:]\s*[\"']?[0-9a-f]+$"))
 
     def alphabet(c: Column, i: Column) -> Column:
         fixed = (i < head) | (i >= stop) | ((kind == "person") & ~_char(entity, i + 1).rlike(r"^\p{L}"))
-        among = F.when(hexed & F.contains(F.lit(HEX), c), F.lit(HEX)).otherwise(F.get(F.filter(F.array(*map(F.lit, ALPHABETS)), lambda a: F.contains(a, c)), F.lit(0)))
+        among = F.when(hexed & F.contains(F.lit(HEX), c) & ~((kind == "ipv6") & (i >= dotted)), F.lit(HEX)).otherwise(F.get(F.filter(F.array(*map(F.lit, ALPHABETS)), lambda a: F.contains(a, c)), F.lit(0)))
         return F.when(fixed, c).otherwise(F.coalesce(among, c))
 
     def spelled(alphabets: Column) -> Column:
@@ -154,7 +159,7 @@ def rendered(m: Column, kind: Column, replacement: Column) -> Column:
 
     spaced = F.array_join(F.transform(F.split(m, ""), digit), "")
     cased = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == F.lower(c), _char(replacement, i)).otherwise(F.upper(_char(replacement, i)))), "")
-    return F.when(kind.isin("phone", "card"), spaced).when(kind.isin("email", "hex"), cased).otherwise(replacement)
+    return F.when(kind.isin("phone", "card"), spaced).when(kind.isin("email", "hex", "ipv6"), cased).otherwise(replacement)
 
 
 def matches(text: Column) -> Column:

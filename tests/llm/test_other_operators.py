@@ -360,6 +360,18 @@ def test_secrets_go_without_digits_in_the_text(spark):
         assert secret not in got[i].text
 
 
+def test_international_numbers_and_long_addresses_go(spark):
+    found = ["+33 6 12 34 56 78", "+49 30 901820", "+44 20 7946 0958", "+7 495 123-45-67", "+15551234567", "+49 (0)30 901820", "2001:db8::8a2e:370:7334", "fe80::1", "dead:beef::cafe", "2001:0DB8:85a3:0000:0000:8a2e:0370:7334", "::ffff:192.168.10.7"]
+    clean = ["at 12:30:45 sharp", "std::vector of x", "1 + 2 and +5", "see :: there", "a ratio of 3:4:5"]
+    rows = list(enumerate(f"so {x} it is" for x in found + clean))
+    got = [r for r in pii.anonymise(spark.createDataFrame(rows, "doc_id long, text string"), counted="n").orderBy("doc_id").collect()]
+    assert [r.n for r in got] == [1] * len(found) + [0] * len(clean)
+    shape = lambda t: re.sub(r"[0-9a-fA-F]", "9", t)
+    for x, r in zip(found, got, strict=False):
+        assert x not in r.text and shape(r.text) == shape(f"so {x} it is"), r.text
+    assert [r.text for r in got[len(found) :]] == [t for _, t in rows[len(found) :]]
+
+
 # ---- nearest neighbours ----------------------------------------------------
 
 
