@@ -5,13 +5,15 @@ of full dimension: the codebooks are fitted one after another to what the ones
 before leave, and a beam search picks the entries of a vector together. The norm
 of the sum is stored. A query's products with all entries form a table, so an
 approximate cosine is a few look-ups and one division; the best candidates are
-scored again exactly.
+scored again exactly: at least ``CANDIDATES`` in every task, and all that the
+quantisation error may have kept from the best (``SURE`` standard deviations of
+an error in any direction).
 
 The codebooks are fitted on at most about ``TRAINING_ROWS`` rows, taken by a hash
 of the id; every row is encoded and indexed. Queries are sent to the code
 partitions in blocks of ``QUERY_BLOCK``, which bounds what is broadcast, and each
-partition answers with its best few for a query (three times its share of
-``CANDIDATES``), so nothing is shuffled but those candidates.
+partition, which holds the vectors beside the codes, answers with its exact best
+for a query, so nothing is shuffled but those.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components
 take no part, nor do those of another length than most rows have; rows with the
@@ -35,6 +37,8 @@ CODEBOOKS, ENTRIES, BEAM = 16, 256, 4
 TRAINING_ROWS = 8192
 ROUNDS = 6
 CANDIDATES = 300
+#: Standard deviations of the quantisation error within which rows are scored exactly.
+SURE = 4.0
 #: Rows that one task scans for a block of queries.
 SCAN_ROWS = 8192
 QUERY_BLOCK = 32_768
@@ -121,6 +125,13 @@ class AdditiveQuantiser:
             norms[a : a + n] = np.sqrt((self.flat[first].sum(1) ** 2).sum(1))
         return codes, norms
 
+    def miss(self, x: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """Distance of each unit vector from its sum of entries, scaled to length one."""
+        sums = np.zeros(x.shape, np.float32)
+        for b in range(codes.shape[1]):
+            sums += self.books[b][codes[:, b]]
+        return np.sqrt(((x - sums / np.maximum(norms, 1e-12)[:, None]) ** 2).sum(1)).astype(np.float32)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Products of each query with all entries: [query, codebook * entry]."""
         return queries.astype(np.float32) @ self.flat.T
@@ -144,17 +155,19 @@ def train(rows: DataFrame, training_rows: int = TRAINING_ROWS) -> AdditiveQuanti
 
 
 def encoded(rows: DataFrame, quantiser: AdditiveQuantiser) -> DataFrame:
-    """(vec_id, codes, norm): the index, a few bytes a row."""
+    """(vec_id, codes, norm, miss, vector): the index; miss is the distance of the vector from the direction of its codes."""
     sent = rows.sparkSession.sparkContext.broadcast(quantiser)
     kind = rows.schema["vec_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                codes, norms = sent.value.encode(unit(stacked(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "codes", "norm"])
+                x = unit(stacked(batch.column(1)))
+                codes, norms = sent.value.encode(x)
+                miss = sent.value.miss(x, codes, norms)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(miss), batch.column(1)], names=["vec_id", "codes", "norm", "miss", "vector"])
 
-    return rows.select("vec_id", "vector").mapInArrow(run, f"vec_id {kind}, codes binary, norm float")
+    return rows.select("vec_id", "vector").mapInArrow(run, f"vec_id {kind}, codes binary, norm float, miss float, vector array<double>")
 
 
 def best_places(scores: np.ndarray, ids: np.ndarray, count: int) -> np.ndarray:
@@ -179,8 +192,6 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = 5, candidates
     index = materialise(encoded(rows, quantiser), "codes")
     tasks = max(1, -(-index.count() // SCAN_ROWS))
     index = index.coalesce(tasks)
-    # a task holds its share of the best candidates; it sends three times that share, and never too few to answer alone
-    own = min(candidates, max(2 * neighbours, -(-3 * candidates // tasks)))
     asked = rows.where(is_query)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     parts = []
@@ -193,7 +204,7 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = 5, candidates
             continue
         names = sorted(held)
         sent = spark.sparkContext.broadcast((quantiser, np.asarray(names), unit(np.asarray([held[q] for q in names]))))
-        parts.append(_search_block(index, rows, sent, kind, schema, neighbours, candidates, own))
+        parts.append(_search_block(index, sent, kind, neighbours, candidates))
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]
@@ -202,7 +213,20 @@ def search(vectors: DataFrame, is_query: Column, neighbours: int = 5, candidates
     return out
 
 
-def _search_block(index: DataFrame, rows: DataFrame, sent, kind: str, schema: str, neighbours: int, candidates: int, own: int) -> DataFrame:
+def exact_best(query: np.ndarray, scores: np.ndarray, margin: np.ndarray, ids: np.ndarray, vectors: np.ndarray, neighbours: int, candidates: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, exact scores) of the best rows of one query; ids ascend."""
+    chosen = best_places(scores, ids, candidates)
+    if len(scores) > candidates:
+        low = scores - margin
+        sure = np.partition(low, len(low) - neighbours)[len(low) - neighbours]
+        chosen = np.union1d(chosen, np.flatnonzero(scores + margin >= sure))
+    chosen = chosen[scores[chosen] > -np.inf]
+    exact = (query * vectors[chosen]).sum(1)
+    order = np.lexsort((ids[chosen], -exact))[:neighbours]
+    return chosen[order], exact[order]
+
+
+def _search_block(index: DataFrame, sent, kind: str, neighbours: int, candidates: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser, names, queries = sent.value
         found: list[tuple[np.ndarray, np.ndarray]] | None = None
@@ -213,6 +237,9 @@ def _search_block(index: DataFrame, rows: DataFrame, sent, kind: str, schema: st
             ids = batch.column(0).to_numpy(zero_copy_only=False)[order]
             codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             norms = batch.column(2).to_numpy(zero_copy_only=False)[order]
+            vectors = unit(stacked(batch.column(4)))[order]
+            miss = batch.column(3).to_numpy(zero_copy_only=False)[order]
+            margin = miss * min(1.0, SURE / np.sqrt(vectors.shape[1])) + np.float32(1e-5)
             tops = []
             for a in range(0, len(names), 128):
                 scores = quantiser.approximate(quantiser.tables(queries[a : a + 128]), codes, norms)
@@ -221,34 +248,23 @@ def _search_block(index: DataFrame, rows: DataFrame, sent, kind: str, schema: st
                     while at < len(ids) and ids[at] == names[q]:
                         s[at] = -np.inf
                         at += 1
-                    best = best_places(s, ids, own)
-                    tops.append((ids[best], s[best]))
+                    best, exact = exact_best(queries[q], s, margin, ids, vectors, neighbours, candidates)
+                    tops.append((ids[best], exact))
             if found is None:
                 found = tops
             else:
                 for q, ((i, s), (j, t)) in enumerate(zip(found, tops, strict=True)):
                     i, s = np.concatenate([i, j]), np.concatenate([s, t])
-                    o = np.argsort(i, kind="stable")
-                    best = best_places(s[o], i[o], own)
-                    found[q] = (i[o][best], s[o][best])
+                    o = np.lexsort((i, -s))[:neighbours]
+                    found[q] = (i[o], s[o])
         for a in range(0, len(found or ()), 256):
             part = found[a : a + 256]
             q = np.repeat(names[a : a + 256], [len(i) for i, _ in part])
             i, s = np.concatenate([i for i, _ in part]), np.concatenate([s for _, s in part])
-            keep = s > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(i[keep]), pa.array(s[keep])], names=["query_id", "vec_id", "near"])
-
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, names, queries = sent.value
-        for batch in batches:
-            if batch.num_rows:
-                q = queries[np.searchsorted(names, batch.column(0).to_numpy(zero_copy_only=False))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((q * unit(stacked(batch.column(2)))).sum(1))], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    near = index.mapInArrow(scan, f"query_id {kind}, vec_id {kind}, near float").groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))).where(F.col("place") <= candidates)
-    exact = near.select("query_id", "vec_id").join(rows, "vec_id").select("query_id", "vec_id", "vector").mapInArrow(rerank, f"query_id {kind}, vec_id {kind}, score double")
-    ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= neighbours)
+    near = index.mapInArrow(scan, f"query_id {kind}, vec_id {kind}, score double")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= neighbours)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 

@@ -408,6 +408,23 @@ def test_search_edges(spark):
     assert additive.search(df, F.col("vec_id") == -1).count() == 0
 
 
+def test_recall_on_a_dense_cluster_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(additive, "SCAN_ROWS", 1024)  # so many tasks that a share of the candidates is ten each
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 32))
+    x = np.concatenate([c + 0.1 * rng.normal(size=(2000, 32)) for c in centres])  # written by cluster
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in additive.search(df, F.col("vec_id") % 400 == 0, candidates=10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u, hit = additive.unit(x), 0
+    for q in range(0, len(x), 400):
+        s = u @ u[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hit / (5 * len(got)) >= 0.98
+
+
 def test_beam_search_is_no_worse_than_greedy():
     x = additive.unit(np.random.default_rng(0).normal(size=(600, 16)))
     q = additive.AdditiveQuantiser(x, codebooks=4, entries=32)
