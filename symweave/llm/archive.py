@@ -9,12 +9,16 @@ smallest key becomes the response and the others revisit it.
 
 Archives are written and read by Spark's own sources, so they may lie in any
 store that Spark reaches. One file holds at most ``CHUNK_BYTES`` of records (one
-longer record has a file of its own); a task never holds more than a few files.
+longer record has a file of its own); a task never holds more than a few files,
+as batches are bounded in bytes.
 
 Edge cases: a null payload is an empty one; a null key or URL gives null back;
-with repeated rows the first in file order is the response; an empty table
-gives empty archives; payloads may contain anything that looks like a header,
-as only lengths delimit records; further columns are ignored.
+keys may be of any type that a string can be cast to, and a null key ranks after
+the others; with repeated rows the first in file order is the response; an empty
+table gives empty archives; payloads are bytes of any kind and may contain
+anything that looks like a header, as only lengths delimit records; one record
+with its headers must fit in 2 GB, the bound of a value in Spark; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import datetime
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -32,10 +37,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.llm.common import fresh_path, materialise, small_batches, table
+from symweave.llm.common import dealt_join, fresh_path, materialise, small_batches, table
 
 CHUNK_BYTES = 8_000_000
-FILES_AT_ONCE = 4
 KEY_HEADER = b"X-Page-Id"
 NO_URL = "urn:none:"
 REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -72,7 +76,7 @@ def arc_record(version: int, url: str, date: str, block: bytes, offset: int, nam
 
 
 def http_block(key: object, payload: bytes) -> bytes:
-    own = b"" if key is None else KEY_HEADER + b": %d\r\n" % key
+    own = b"" if key is None else KEY_HEADER + b": " + quote(str(key), safe="").encode() + b"\r\n"
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + own + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
 
 
@@ -115,25 +119,30 @@ def header_value(head: bytes, name: bytes) -> bytes | None:
     return None
 
 
-def file_table(lines: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()).cast(pa.string())], names=["value"])
+def key_of(head: bytes) -> str | None:
+    own = header_value(head, KEY_HEADER)
+    return None if own is None else unquote(own.decode())
+
+
+def file_table(files: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(files, pa.large_binary()).cast(pa.binary())], names=["value"])
 
 
 def write_files(chunks: DataFrame, path: str) -> None:
-    """Each row becomes one gzip file."""
-    chunks.write.option("compression", "gzip").option("maxRecordsPerFile", 1).option("zlib.compress.level", "BEST_SPEED").text(path)
+    """Each row becomes one gzip file. The text writer puts out the bytes of a string as they are, and a cast from binary does not look at them."""
+    chunks.select(F.col("value").cast("string")).write.option("compression", "gzip").option("maxRecordsPerFile", 1).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
     """Write rows as ARC files, in version 1 and 2 by turns."""
-    small_batches(pages.sparkSession, 256)
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
         name, version = f"part-{part:06d}-{number:04d}.arc", 1 + part % 2
         for batch in batches:
             for k, u, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                date = (_EPOCH + datetime.timedelta(seconds=abs(k or 0) % 150_000_000)).strftime("%Y%m%d%H%M%S")
+                date = (_EPOCH + datetime.timedelta(seconds=zlib.crc32(str(k).encode()) % 150_000_000)).strftime("%Y%m%d%H%M%S")
                 if not held:
                     held = [arc_head(name, version, date)]
                     size = len(held[0])
@@ -148,7 +157,7 @@ def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url
         if held:
             yield file_table([b"".join(held)])
 
-    write_files(pages.select(F.col(key).cast("long"), F.col(url).cast("string"), F.col(payload).cast("binary")).mapInArrow(run, "value string"), path)
+    write_files(pages.select(F.col(key).cast("string"), F.col(url).cast("string"), F.col(payload).cast("binary")).mapInArrow(run, "value binary"), path)
 
 
 # ---- WARC ------------------------------------------------------------------
@@ -173,7 +182,7 @@ def warc_record(fields: list[tuple[bytes, bytes]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
 
 
-def arc_index(arcs: DataFrame) -> DataFrame:
+def arc_index(arcs: DataFrame, key_type: str = "long") -> DataFrame:
     """(path, pos, key, id, url, date, digest, size) of every ARC record, payloads left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,20 +192,19 @@ def arc_index(arcs: DataFrame) -> DataFrame:
                 name = path.rsplit("/", 1)[-1]
                 for fields, offset, block in arc_records(gzip.decompress(content.as_buffer())):
                     head, payload = http_parts(block)
-                    own = header_value(head, KEY_HEADER)
-                    rows.append((path, offset, None if own is None else int(own), record_id(name, offset, fields["URL"], fields["Archive-date"]), fields["URL"], fields["Archive-date"], base32_sha1(payload), len(payload)))
+                    rows.append((path, offset, key_of(head), record_id(name, offset, fields["URL"], fields["Archive-date"]), fields["URL"], fields["Archive-date"], base32_sha1(payload), len(payload)))
                 if rows:
-                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
+                    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "pos", "key", "id", "url", "date", "digest", "size"])
 
-    return arcs.mapInArrow(run, "path string, pos long, key long, id string, url string, date string, digest string, size long")
+    return arcs.mapInArrow(run, "path string, pos long, key string, id string, url string, date string, digest string, size long").withColumn("key", F.col("key").cast(key_type))
 
 
 def revisits(index: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(path, again): for each archive file, the records that revisit another, with that other's identity."""
     rank = F.struct(F.col("key").isNull().alias("unkeyed"), "key", "path", "pos", "id", "url", "date")
     first = index.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = index.join(first, ["digest", "size"]).where("path <> first.path or pos <> first.pos")
+    again = dealt_join(index, first, ["digest", "size"], ["path", "pos"]).where("path <> first.path or pos <> first.pos")
     return again.groupBy("path").agg(F.collect_list(F.struct("pos", F.col("first.id").alias("id"), F.col("first.url").alias("url"), F.col("first.date").alias("date"))).alias("again"))
 
 
@@ -238,7 +246,7 @@ def convert(arcs: DataFrame, again: DataFrame, path: str) -> None:
                 if out:
                     yield file_table([b"".join(out)])
 
-    write_files(arcs.join(again, "path", "left").select("path", "content", "again").mapInArrow(run, "value string"), path)
+    write_files(arcs.join(again, "path", "left").select("path", "content", "again").mapInArrow(run, "value binary"), path)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
@@ -258,9 +266,9 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
         at = end + 4 + size
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, key_type: str = "long") -> DataFrame:
     """(key, id, url, record_type, payload_bytes, payload_digest, refers_to_id) of each record but warcinfo."""
-    small_batches(spark, FILES_AT_ONCE)
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,26 +279,27 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if kind == "warcinfo":
                         continue
                     head, payload = http_parts(block)
-                    own, declared = header_value(head, KEY_HEADER), header_value(head, b"Content-Length")
+                    declared = header_value(head, b"Content-Length")
                     size = len(payload) if kind == "response" else int(declared or 0)
                     digest = base32_sha1(payload) if kind == "response" else fields[b"WARC-Payload-Digest"].removeprefix(b"sha1:").decode()
                     if fields[b"WARC-Payload-Digest"] != b"sha1:" + digest.encode() or fields[b"WARC-Block-Digest"] != b"sha1:" + base32_sha1(block).encode():
                         raise ValueError("digest of a record does not match its bytes")
                     url = fields[b"WARC-Target-URI"].decode()
                     refers = fields.get(b"WARC-Refers-To")
-                    rows.append((None if own is None else int(own), fields[b"WARC-Record-ID"].decode(), None if url == NO_URL else unquote(url), kind, size, digest, None if refers is None else refers.decode()))
+                    rows.append((key_of(head), fields[b"WARC-Record-ID"].decode(), None if url == NO_URL else unquote(url), kind, size, digest, None if refers is None else refers.decode()))
                 if rows:
-                    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+                    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to_id"])
 
-    return read_files(spark, path).mapInArrow(run, "key long, id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to_id string")
+    found = read_files(spark, path).mapInArrow(run, "key string, id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to_id string")
+    return found.withColumn("key", F.col("key").cast(key_type))
 
 
-def convert_archives(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0) -> None:
-    """Convert a folder of ARC files into a folder of WARC files."""
-    small_batches(spark, FILES_AT_ONCE)
+def convert_archives(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0, key_type: str = "long") -> None:
+    """Convert a folder of ARC files into a folder of WARC files; ``key_type`` gives the order of the keys."""
+    small_batches(spark)
     arcs = read_files(spark, arc_path)
-    convert(arcs, materialise(revisits(materialise(arc_index(arcs), "arc-index"), least_bytes), "revisits"), warc_path)
+    convert(arcs, materialise(revisits(materialise(arc_index(arcs, key_type), "arc-index"), least_bytes), "revisits"), warc_path)
 
 
 def op1_arc_to_warc(spark, sf_dir: str) -> DataFrame:
@@ -300,7 +309,7 @@ def op1_arc_to_warc(spark, sf_dir: str) -> DataFrame:
     found = materialise(read_warc(spark, warc), "warc-index")
     names = found.where("record_type = 'response'").select(F.col("id").alias("refers_to_id"), F.col("key").alias("refers_to"))
     plain = found.where("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("long"))
-    linked = found.where("refers_to_id is not null").join(names, "refers_to_id", "left")
+    linked = dealt_join(found.where("refers_to_id is not null"), names, ["refers_to_id"], ["id"], "left")
     columns = [F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return plain.select(*columns).unionByName(linked.select(*columns))
 
