@@ -8,15 +8,25 @@ The variants are not shipped one by one. A variant goes to the bucket that its
 top bits name; all variants of a fingerprint reach only 1 + k + C(k, 2) of the
 2^k buckets, so a fingerprint is shipped once to each of those, and the bucket
 makes the variants that belong to it. Equal fingerprints are shipped once. The
-depth k grows with the number of fingerprints, so a bucket keeps its size.
+depth k grows with the number of fingerprints, and a bucket that a dense cluster
+crowds is split by further bits until its parts have the usual size.
 
 A bucket returns at most one link a fingerprint (its local components), however
 many fingerprints meet, so a group of copies of any size yields no pair list.
 
+The filtering stage (``keep_one``) asks for a similarity of four fifths of the
+five-word shingles, where fingerprints differ in about ten bits: a ball of that
+radius has over four billion variants. So ball hashing finds what lies within
+its radius, bands of least shingle hashes find the rest, and every link is
+checked on the shingle sets themselves.
+
 Edge cases: null and empty texts have fingerprint zero and are linked like any
 other; fewer words than a shingle hash as one sequence; repeated rows share
-their component; a null key names no group (``keep_one`` keeps such rows);
-further columns are ignored; texts are read whole.
+their component; a null key names no group, and a group whose keys are all null
+has a null component (``keep_one`` keeps rows without a key); ties go to the
+smallest key; keys may be of any type that has an order; rows that repeat a key
+with other words are documents of their own; further columns, maps too, are
+ignored or carried; texts are read whole.
 """
 
 from __future__ import annotations
@@ -31,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symweave.llm.common import few, materialise, small_batches, table
+from symweave.llm.common import dealt_join, materialise, small_batches, table
 from symweave.llm.components import components
 from symweave.llm.decontaminate import words_of
 
@@ -47,16 +57,26 @@ BANDS, ROWS = 20, 5
 BUCKET = 1024
 #: Least depth: small inputs have as many buckets as a cluster has cores, not fewer and larger ones.
 LEAST_DEPTH = 8
-#: Fingerprints under one bucket's bits from which its variants are dealt over several tasks, and how many each then takes.
-HEAVY, SHARE = 8 * BUCKET, 4 * BUCKET
+#: Fingerprints of its own from which a bucket is split by further bits, and the bits of one split.
+HEAVY, STEP = 8 * BUCKET, 4
 #: Keys of dropped documents that are broadcast (16 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_KEYS = 4_000_000
 #: Variants held at once; a larger bucket is walked in slices by further bits.
 HELD = 1_500_000
+#: Nodes of a band that one task compares with as many others, and the share of equal least hashes from which it takes a pair to be worth a check:
+#: a pair of similarity 0.8 lies below it with probability 0.0001.
+BLOCK, PLAUSIBLE = 2048, 0.64
+#: Rows of a narrow table in one file.
+FILE_ROWS = 200_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def files_for(rows: int) -> int:
+    """Files of a narrow table: no more than its rows ask for."""
+    return max(2, -(-rows // FILE_ROWS))
+
+
 def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
     words = raw.translate(_LOWER).split() if raw else []
     if not words:
@@ -74,7 +94,7 @@ def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp long): the fingerprint of each whole text, as a signed 64-bit number."""
-    small_batches(documents.sparkSession, 500)
+    small_batches(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,36 +115,62 @@ def depth_for(count: int, bucket: int = BUCKET) -> int:
     return max(LEAST_DEPTH, min(40, math.ceil(math.log2(max(1, count) / bucket))))
 
 
-def heavy_buckets(nodes: DataFrame, depth: int) -> dict[int, int]:
-    """Buckets whose own fingerprints are many (a dense cluster), with the number of tasks that share their variants."""
-    own = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
-    rows = nodes.groupBy(own.alias("b")).count().where(F.col("count") > HEAVY).collect()  # one row for each HEAVY fingerprints at most
-    return {r[0]: -(-r[1] // SHARE) for r in rows}
-
-
-def routed(nodes: DataFrame, depth: int, radius: int, heavy: dict[int, int] | None = None) -> DataFrame:
-    """(bucket, part, fp, ...): each row once for every bucket that one of its fingerprint's variants falls into, and each part of it."""
+def heavy_buckets(nodes: DataFrame, depth: int, radius: int = RADIUS) -> list[tuple[int, np.ndarray]]:
+    """(depth, buckets) to be split: buckets whose own fingerprints are many (a dense cluster) and those that their variants fall into; then of their parts, and so on."""
+    found: list[tuple[int, np.ndarray]] = []
+    left = nodes.select("fp")
+    while depth <= 64 - STEP:
+        own = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
+        crowded = left.groupBy(own.alias("b")).count().where(F.col("count") > HEAVY).select("b")
+        rows = np.asarray([r[0] for r in crowded.collect()], np.int64)  # one row for each HEAVY fingerprints at most
+        if not len(rows):
+            break
+        found.append((depth, np.unique(rows[:, None] ^ masks(0, depth, radius // 2).view(np.int64))))
+        left = left.withColumn("b", own).join(F.broadcast(crowded), "b", "left_semi").select("fp")
+        depth += STEP
+    return found
+
+
+def routed(nodes: DataFrame, depth: int, radius: int, heavy: list[tuple[int, np.ndarray]] | None = None) -> DataFrame:
+    """(bucket, depth, fp, ...): each row once for every bucket that one of its fingerprint's variants falls into; crowded buckets are split by further bits."""
     flips = masks(0, depth, radius // 2)
     names = nodes.columns
-    crowded = np.asarray(sorted(heavy or {}), np.int64)
-    parts = np.asarray([heavy[b] for b in crowded.tolist()], np.int64) if heavy else crowded
+
+    def split(fps: np.ndarray, owner: np.ndarray, bucket: np.ndarray, away: np.ndarray, at: int, among: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """Those in usual buckets, and the rest taken on to the parts of their crowded buckets."""
+        place = np.minimum(np.searchsorted(among, bucket.view(np.int64)), len(among) - 1)
+        crowded = among[place] == bucket.view(np.int64)
+        done = [(owner[~crowded], bucket[~crowded])]
+        owner, bucket, away = owner[crowded], bucket[crowded], away[crowded]
+        parts = []
+        for spare in range(radius // 2 + 1):  # bits that may still be turned
+            rows = np.flatnonzero(radius // 2 - away == spare)
+            more = masks(0, STEP, spare)
+            own = (fps[owner[rows]] >> np.uint64(64 - at - STEP)) & np.uint64((1 << STEP) - 1)
+            deeper = (bucket[rows, None] << np.uint64(STEP)) | (own[:, None] ^ more)
+            parts.append((np.repeat(owner[rows], len(more)), deeper.ravel(), (away[rows, None] + np.bitwise_count(more)).ravel()))
+        return done, *(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            for a in range(0, len(fps), 4096):
-                part = fps[a : a + 4096]
-                top = part >> np.uint64(64 - depth) if depth else np.zeros(len(part), np.uint64)
-                owner, bucket = np.repeat(np.arange(a, a + len(part)), len(flips)), (top[:, None] ^ flips).ravel().view(np.int64)
-                piece = np.zeros(len(bucket), np.int32)
-                if len(crowded):
-                    at = np.minimum(np.searchsorted(crowded, bucket), len(crowded) - 1)
-                    times = np.where(crowded[at] == bucket, parts[at], 1)
-                    piece = (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
-                    owner, bucket = np.repeat(owner, times), np.repeat(bucket, times)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(piece), *[c.take(pa.array(owner)) for c in batch.columns]], names=["bucket", "part", *names])
-
-    return nodes.mapInArrow(run, "bucket long, part int, " + ", ".join(f"{n} long" for n in names))
+            every = batch.column(0).to_numpy().view(np.uint64)
+            for a in range(0, len(every), 1024):
+                fps = every[a : a + 1024]
+                top = fps >> np.uint64(64 - depth) if depth else np.zeros(len(fps), np.uint64)
+                owner, bucket, away = np.repeat(np.arange(len(fps)), len(flips)), (top[:, None] ^ flips).ravel(), np.tile(np.bitwise_count(flips), len(fps))
+                at = depth
+                for level, among in heavy or ():
+                    done, owner, bucket, away = split(fps, owner, bucket, away, level, among)
+                    for o, b in done:
+                        yield batch_of(batch, a + o, b, level)
+                    at = level + STEP
+                yield batch_of(batch, a + owner, bucket, at)
+
+    def batch_of(batch: pa.RecordBatch, owner: np.ndarray, bucket: np.ndarray, at: int) -> pa.RecordBatch:
+        columns = [pa.array(bucket.view(np.int64)), pa.array(np.full(len(bucket), at, np.int32)), *[c.take(pa.array(owner)) for c in batch.columns]]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "depth", *names])
+
+    return nodes.mapInArrow(run, "bucket long, depth int, " + ", ".join(f"{n} long" for n in names))
 
 
 def slices(fps: np.ndarray, bucket: int, depth: int, reach: int) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -146,7 +192,7 @@ def slices(fps: np.ndarray, bucket: int, depth: int, reach: int) -> Iterator[lis
     yield found
 
 
-def meetings(fps: np.ndarray, bucket: int, depth: int, radius: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def meetings(fps: np.ndarray, bucket: int, depth: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified links (numbers of fingerprints) between owners of one variant: to its first owner, or to the first that is near enough."""
     left, right = [], []
     for groups in slices(fps, bucket, depth, radius // 2):
@@ -154,8 +200,6 @@ def meetings(fps: np.ndarray, bucket: int, depth: int, radius: int, part: int =
             continue
         mix = lambda v: (v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
         variants = np.concatenate([(base[:, None] ^ m).ravel() for _, base, m in groups])
-        if parts > 1:  # of a crowded bucket each part takes its share of the variants
-            variants = variants[mix(variants) % np.uint64(parts) == part]
         variants.sort()
         shared = np.unique(variants[1:][variants[1:] == variants[:-1]])
         del variants
@@ -204,30 +248,30 @@ def local_components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(u, v) between fingerprints of one component; at most one a fingerprint and bucket."""
     depth = depth_for(nodes.count(), bucket)
-    heavy = heavy_buckets(nodes, depth)
+    heavy = heavy_buckets(nodes, depth, radius)
 
     def collide(group: pa.Table) -> pa.Table:
-        fps, at, part = group.column("fp").to_numpy().view(np.uint64), group.column("bucket")[0].as_py(), group.column("part")[0].as_py()
+        fps, at, of = group.column("fp").to_numpy().view(np.uint64), group.column("bucket")[0].as_py(), group.column("depth")[0].as_py()
         fps = np.unique(fps)
         names = fps.view(np.int64)
-        u, v = meetings(fps, at, depth, radius, part, heavy.get(at, 1))
+        u, v = meetings(fps, at % (1 << 64), of, radius)
         label = local_components(len(fps), u, v)
         moved = np.flatnonzero(label != np.arange(len(fps)))
         return pa.table({"u": names[moved], "v": names[label[moved]]})
 
-    return routed(nodes.select("fp"), depth, radius, heavy).groupBy("bucket", "part").applyInArrow(collide, "u long, v long")
+    return routed(nodes.select("fp"), depth, radius, heavy).groupBy("bucket", "depth").applyInArrow(collide, "u long, v long")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component): component is the smallest key reachable over links of at most ``radius`` bits."""
-    files = few(documents.sparkSession)
-    rows = materialise(fingerprints(documents, shingle, key, text).repartition(files), "fingerprints")
+    rows = materialise(fingerprints(documents, shingle, key, text), "fingerprints")
+    files = files_for(rows.count())
     nodes = materialise(rows.groupBy("fp").agg(F.min(key).alias("first")), "nodes", files=files)
     roots = components(links(nodes, radius))
     joined = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("m", "fp"))
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
-    of_fp = joined.join(least, "root").select("fp", "component")
-    return rows.join(of_fp, "fp").select(key, "fp", "component")
+    of_fp = materialise(joined.join(least, "root").select("fp", "component"), "components", files=files)
+    return dealt_join(rows, of_fp, ["fp"], [key]).select(key, "fp", "component")
 
 
 def majority(hashes: list[int]) -> int:
@@ -242,8 +286,11 @@ def majority(hashes: list[int]) -> int:
 
 def shingle_hashes(words: list[bytes]) -> np.ndarray:
     """The set of hashed shingles of a text, ascending."""
-    digest, k = xxhash.xxh64_intdigest, COPY_SHINGLE
-    return np.unique(np.asarray([digest(b" ".join(words[i : i + k]), 0) for i in range(max(1, len(words) - k + 1))], np.uint64))
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
+    if len(words) <= COPY_SHINGLE:
+        return np.asarray([digest(joined, 0)], np.uint64)
+    ends = list(itertools.accumulate(len(w) + 1 for w in words))
+    return np.unique(np.asarray([digest(joined[a : b - 1], 0) for a, b in zip([0, *ends[:-COPY_SHINGLE]], ends[COPY_SHINGLE - 1 :], strict=True)], np.uint64))
 
 
 def text_number(words: list[bytes]) -> int:
@@ -271,46 +318,63 @@ def band_hashes(least: np.ndarray) -> np.ndarray:
 
 
 def texts(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, node, bands): the number of each text and, of texts with words, its band hashes."""
-    small_batches(documents.sparkSession, 500)
+    """(key, h, node, fp, bands): a hash of the text as it is, the number of its words, and, of texts with words, their shingle fingerprint and band hashes."""
+    small_batches(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [words_of(b) for b in batch.column(1).cast(pa.binary()).to_pylist()]
-            nodes = np.asarray([text_number(w) for w in words], np.uint64).view(np.int64)
-            least = [least_hashes(shingle_hashes(w)) for w in words if w]
+            nodes, fps, least = [], [], []
+            for raw in batch.column(2).cast(pa.binary()).to_pylist():
+                words = words_of(raw)
+                nodes.append(text_number(words))
+                hashes = shingle_hashes(words) if words else None
+                fps.append(0 if hashes is None else majority(hashes))
+                if hashes is not None:
+                    least.append(least_hashes(hashes))
             bands = band_hashes(np.stack(least)).view(np.int64) if least else np.zeros((0, BANDS), np.int64)
-            ends = np.cumsum([0, *[BANDS if w else 0 for w in words]], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))], names=[key, "node", "bands"])
+            ends = np.cumsum([0, *[BANDS if n else 0 for n in nodes]], dtype=np.int32)
+            longs = [pa.array(np.asarray(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))], names=[key, "h", "node", "fp", "bands"])
 
-    return documents.select(key, text).where(F.col(key).isNotNull()).mapInArrow(run, f"`{key}` {kind}, node long, bands array<long>")
+    return documents.select(key, F.xxhash64(text).alias("h"), text).where(F.col(key).isNotNull()).mapInArrow(run, f"`{key}` {kind}, h long, node long, fp long, bands array<long>")
 
 
-def candidates(bands: DataFrame) -> DataFrame:
-    """(u, v): every node with the least node of each band it shares."""
-    shared = bands.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "v")
-    return bands.join(shared, "band").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+def ball_candidates(nodes: DataFrame) -> DataFrame:
+    """(u, v): nodes whose fingerprints meet in a ball: each with the least node of its fingerprint, and those of linked fingerprints."""
+    least = materialise(nodes.groupBy("fp").agg(F.min("node").alias("least")), "least", files=files_for(nodes.count()))
+    same = dealt_join(nodes.select("fp", "node"), least, ["fp"], ["node"]).select(F.col("node").alias("u"), F.col("least").alias("v"))
+    met = links(least).join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
+    return same.unionByName(met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).where("u <> v").distinct()
+
+
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """(band, node, n): the bands that several nodes share, with their number of nodes."""
+    bands = nodes.select("node", F.explode("bands").alias("band"))
+    return dealt_join(bands, bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), ["band"], ["node"])
+
+
+def band_candidates(shared: DataFrame) -> DataFrame:
+    """(u, v): every node with the most central node of each band it shares: that which shares most bands with most others,
+    as the text that a group was copied from does. Ties go to the least node."""
+    weight = shared.groupBy("node").agg(F.sum("n").alias("w"))
+    pivots = shared.join(weight, "node").groupBy("band").agg(F.max(F.struct("w", -F.col("node"))).alias("p")).select("band", (-F.col("p.col2")).alias("v"))
+    return dealt_join(shared.select("band", "node"), pivots, ["band"], ["node"]).where("node <> v").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
 
 
 def shingle_sets(documents: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, shingles): the set of hashed shingles of each wanted (node, first), eight bytes each."""
-    small_batches(documents.sparkSession, 200)
-    wanted = wanted.select("node", F.col("first").alias(key))
+    """(node, shingles): the set of hashed shingles of each wanted (node, first<key, h>), eight bytes each."""
+    small_batches(documents.sparkSession)
+    wanted = wanted.select("node", F.col(f"first.{key}").alias(key), F.col("first.h").alias("__h"))
     if wanted.count() <= BROADCAST_KEYS:  # texts then stay where they are
         wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets = [], []
-            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                words = words_of(raw)
-                if np.uint64(text_number(words)).astype(np.int64) == node:  # rows that repeat a key may have other texts
-                    nodes.append(node)
-                    sets.append(shingle_hashes(words).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            sets = [shingle_hashes(words_of(raw)).tobytes() for raw in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    found = documents.select(key, text).join(wanted, key).select("node", text).mapInArrow(run, "node long, shingles binary")
+    found = documents.select(key, F.xxhash64(text).alias("__h"), text).join(wanted, [key, "__h"]).select("node", text).mapInArrow(run, "node long, shingles binary")
     return materialise(found.dropDuplicates(["node"]), "shingles")
 
 
@@ -322,19 +386,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * NEAR[1] >= (len(a) + len(b) - both) * NEAR[0]
 
 
-def with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str, other: str, name: str) -> DataFrame:
-    """``rows`` of ``pairs`` with the set of one side; a node that many pairs share is dealt over tasks."""
-    often = pairs.groupBy(side).count().where(F.col("count") > SHARE).select(side, F.ceil(F.col("count") / SHARE).cast("int").alias("parts"))
-    often = F.broadcast(often)  # one row for each SHARE pairs at most
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = rows.join(often, side, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
-    held = sets.select(F.col("node").alias(side), F.col("shingles").alias(name)).join(often, side, "left").select(side, name, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    return dealt.join(held, [side, "part"]).drop("part")
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (u, v) whose sets of shingles are similar."""
-    small_batches(pairs.sparkSession, 200)
+    """The (u, v) whose sets of shingles are similar; a node of many pairs is dealt over tasks."""
+    small_batches(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,68 +396,121 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield batch.select([0, 1]).filter(keep)
 
-    both = with_sets(with_sets(pairs, pairs, sets, "u", "v", "a"), pairs, sets, "v", "u", "b")
+    left = materialise(dealt_join(pairs, sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), ["u"], ["v"]), "pairs")
+    both = dealt_join(left, sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), ["v"], ["u"])
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def untried(bands: DataFrame, tried: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v) that share a band, are not of one component yet and were not compared: a node that was not
-    similar to the least of a band may be similar to another node there."""
-    crowd = bands.groupBy("band").count().where("count > 2").select("band")
-    held = bands.join(crowd, "band", "left_semi").join(roots, "node", "left").select("band", "node", F.coalesce("m", "node").alias("root"))
-    mixed = held.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-    held = materialise(held.join(mixed, "band", "left_semi"), "mixed", files=few(bands.sparkSession))
-    each = held.select("band", "root").distinct()
-    # components of a band meet first, then their members, so that rows are made for members of different components only
-    meet = each.withColumnRenamed("root", "r").join(each.withColumnRenamed("root", "q"), "band").where("r < q")
-    left = meet.join(held.select("band", F.col("root").alias("r"), F.col("node").alias("u")), ["band", "r"]).select("band", "q", "u")
-    both = left.join(held.select("band", F.col("root").alias("q"), F.col("node").alias("v")), ["band", "q"])
-    pairs = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    return pairs.join(tried, ["u", "v"], "left_anti")
+def sketches(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, sketch): 16 bits of each least hash of the wanted nodes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(least_hashes(np.frombuffer(x, np.uint64)) >> np.uint64(20)).astype(np.uint16).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "sketch"])
+
+    return sets.join(wanted, "node", "left_semi").select("node", "shingles").mapInArrow(run, "node long, sketch binary")
+
+
+def best_partners(nodes: np.ndarray, roots: np.ndarray, marks: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each node of ``left`` the most similar one by sketch of every other component among ``right``, where it is plausible that they are similar."""
+    us, vs = [], []
+    for a in range(0, len(left), 32):
+        rows = left[a : a + 32]
+        share = (marks[rows, None, :] == marks[None, right, :]).mean(2)
+        i, j = np.nonzero((share >= PLAUSIBLE) & (roots[rows, None] != roots[None, right]))
+        if len(i):
+            order = np.lexsort((nodes[right[j]], -share[i, j], roots[right[j]], i))
+            i, j = i[order], j[order]
+            first = np.concatenate(([True], (i[1:] != i[:-1]) | (roots[right[j[1:]]] != roots[right[j[:-1]]])))
+            us.append(nodes[rows[i[first]]])
+            vs.append(nodes[right[j[first]]])
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(us), np.concatenate(vs)) if us else (empty, empty)
 
-def copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, component): groups of copies and near copies, for filtering.
 
-    Texts of equal words are one node. Shingle fingerprints of texts that share
-    four fifths of their five-word shingles differ in about ten bits, too many for
-    a ball. Nodes meet where a band of least hashes of their shingles agrees, which
-    depends on the similarity only and not on the kind of edit; a link counts if the
-    sets themselves have the similarity ``NEAR``.
+def untried(shared: DataFrame, tried: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of different components that share a band, were not compared, and are by sketch the most similar of their components.
+
+    A node that is not similar to the central node of a band may be similar to another one there. Members of a band that are
+    outside its largest component are compared with all its members, in blocks and in place: no list of pairs is made.
     """
-    spark = documents.sparkSession
-    files = few(spark)
-    kind = documents.schema[key].dataType.simpleString()
-    rows = materialise(texts(documents, key, text).repartition(files), "texts")
-    nodes = materialise(rows.groupBy("node").agg(F.min(key).alias("first"), F.any_value("bands").alias("bands")), "nodes", files=files)
-    bands = nodes.select("node", F.explode("bands").alias("band"))
-    tried = materialise(candidates(bands), "candidates", files=files)
-    met = bands.join(bands.groupBy("band").count().where("count > 1").select("band"), "band", "left_semi").select("node").distinct()
+    crowd = dealt_join(shared.where("n > 2"), roots, ["node"], ["band"], "left").select("band", "node", "n", F.coalesce("m", "node").alias("root"))
+    crowd = materialise(crowd, "crowd", files=files_for(shared.count()))
+    sizes = crowd.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("k")).where("k > 1").select("band", "most.root")
+    mixed = dealt_join(crowd, sizes.withColumnRenamed("root", "main"), ["band"], ["node"])
+    mixed = materialise(mixed.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "mixed", files=files_for(shared.count()))
+    held = materialise(sketches(sets, mixed.select("node").distinct()), "sketches")
+    rows = mixed.join(held, "node").select("band", "node", "root", "main", "block", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other")).drop("other")
+
+    def compare(group: pa.Table) -> pa.Table:
+        nodes, roots, block = (group.column(n).to_numpy() for n in ("node", "root", "block"))
+        a, b, main = (group.column(n)[0].as_py() for n in ("a", "b", "main"))
+        marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(len(nodes), -1)
+        minor, one, two = roots != main, block == a, block == b
+        pairs = [best_partners(nodes, roots, marks, np.flatnonzero(minor & one), np.flatnonzero(two))]
+        if a != b:
+            pairs.append(best_partners(nodes, roots, marks, np.flatnonzero(minor & two), np.flatnonzero(one)))
+        u, v = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+
+    met = rows.groupBy("band", "a", "b").applyInArrow(compare, "u long, v long").distinct()
+    return met.join(tried, ["u", "v"], "left_anti")
+
+
+def grouped(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, h, first<key, h>): each document by its key and the hash of its text, and the first document of its group of copies and near copies.
+
+    Texts of equal words are one node. Nodes meet where their shingle fingerprints lie in a ball, and where a band of least hashes
+    of their shingles agrees, which depends on the similarity only and not on the kind of edit; a link counts if the sets
+    themselves have the similarity ``NEAR``.
+    """
+    rows = materialise(texts(documents, key, text), "texts")
+    nodes = rows.groupBy("node").agg(F.min(F.struct(key, "h")).alias("first"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
+    nodes = materialise(nodes, "nodes", files=files_for(10 * rows.count()))
+    files = files_for(nodes.count())
+    shared = materialise(shared_bands(nodes), "shared", files=files)
+    tried = materialise(ball_candidates(nodes).unionByName(band_candidates(shared)).distinct(), "candidates", files=files)
+    met = shared.select("node").union(tried.select("u")).union(tried.select("v")).distinct()
     sets = shingle_sets(documents, materialise(nodes.select("node", "first").join(met, "node"), "met", files=files), key, text)
     found = materialise(verified(tried, sets), "links", files=files)
     roots = components(found).withColumnRenamed("u", "node")
-    more = materialise(untried(bands, tried, roots), "candidates", files=files)
-    if not more.isEmpty():
-        roots = components(found.unionByName(materialise(verified(more, sets), "links", files=files))).withColumnRenamed("u", "node")
+    while not (more := materialise(untried(shared, tried, roots, sets), "candidates", files=files)).isEmpty():
+        tried, again = tried.unionByName(more), materialise(verified(more, sets), "links", files=files)
+        if not again.isEmpty():
+            found = found.unionByName(again)
+            roots = components(found).withColumnRenamed("u", "node")
     joined = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("m", "node"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component"))
-    of_node = joined.join(least, "root").select("node", "component")
-    return rows.select(key, "node").join(of_node, "node").select(key, F.col("component").cast(kind).alias("component"))
+    least = joined.groupBy("root").agg(F.min("first").alias("least"))
+    of_node = materialise(joined.join(least, "root").select("node", F.col("least").alias("first")), "components", files=files)
+    return materialise(dealt_join(rows.select(key, "h", "node"), of_node, ["node"], [key]).select(key, "h", "first"), "copies", files=files_for(rows.count()))
+
+
+def copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component): groups of copies and near copies, for filtering; the component is the smallest key of the group."""
+    return grouped(documents, key, text).select(key, F.col(f"first.{key}").alias("component"))
 
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of copies, that with the smallest key, with all its columns; of rows that repeat a key, one."""
-    groups = materialise(copies(documents, key, text), "copies", files=few(documents.sparkSession))
-    gone = groups.where(F.col(key) != F.col("component")).select(key).distinct()
+    """One document of each group of copies, that with the smallest key, with all its columns.
+
+    Rows that repeat a key with other words are documents of their own; of rows that repeat key and text one stays.
+    """
+    groups = grouped(documents, key, text)
+    gone = groups.where((F.col(key) != F.col(f"first.{key}")) | (F.col("h") != F.col("first.h"))).select(key, F.col("h").alias("__h")).distinct()
     if gone.count() <= BROADCAST_KEYS:  # texts then stay where they are
         gone = F.broadcast(gone)
-    kept = documents.join(gone, key, "left_anti").select(*documents.columns)
+    named = documents.withColumn("__h", F.xxhash64(text))
+    kept = named.join(gone, [key, "__h"], "left_anti")
     # rows without a key belong to no group and stay
-    again = groups.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    again = materialise(groups.groupBy(key, F.col("h").alias("__h")).agg(F.count("*").alias("n")).where("n > 1").select(key, "__h"), "again", files=2)
     if again.isEmpty():
-        return kept
-    first = kept.join(again, key, "left_semi").select(key, F.struct(*documents.columns).alias("r")).groupBy(key).agg(F.min("r").alias("r")).select("r.*")
-    return kept.join(again, key, "left_anti").select(*documents.columns).unionByName(first.select(*documents.columns))
+        return kept.select(*documents.columns)
+    if again.count() <= BROADCAST_KEYS:
+        again = F.broadcast(again)
+    once = kept.join(again, [key, "__h"], "left_semi").dropDuplicates([key, "__h"])
+    return kept.join(again, [key, "__h"], "left_anti").select(*documents.columns).unionByName(once.select(*documents.columns))
 
 
 def op4_simhash_ball(spark, sf_dir: str) -> DataFrame:
