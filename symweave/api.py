@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from symweave.extract import index_files, language
 from symweave.functions import text as T
 from symweave.operators import graph as G
 from symweave.operators import index as I
 from symweave.operators.tasks import TaskList, describe_tasks
-from symweave.schema import qualified
+from symweave.schema import NOTE, PLACED, qualified
 from symweave.sources import files as S
 from symweave.sources.json_index import read_json, read_parquet, write_json, write_parquet
 from symweave.sources.sqlite import read_sqlite, write_sqlite
@@ -22,6 +24,8 @@ from symweave.storage import materialise
 
 log = logging.getLogger("symweave")
 CACHE = ".symweave"
+#: Submitted notes, one JSON line each, beside the stored index.
+NOTES = "notes.jsonl"
 POLICIES = ("arbitrary", "bfs_callee_to_caller", "bfs_caller_to_callee")
 
 
@@ -35,7 +39,8 @@ class CodeAnalytics:
         self._files: DataFrame | None = None
         self._graphs: dict[tuple, G.CallGraph] = {}
         self._tasks: TaskList | None = None
-        self._notes: list[tuple] = []
+        self._notes = 0
+        self._store: str | None = None
 
     def __repr__(self) -> str:
         return f"CodeAnalytics({self.root}, {self._index!r})"
@@ -64,16 +69,29 @@ class CodeAnalytics:
         self.root = root
         self._files = S.scan_project(self.spark, root, lang)
         cache = os.path.join(root, CACHE)
+        self._store = cache if persist != "none" else None
         kinds = [k for k in ("json", "sqlite", "parquet") if persist in ("auto", k) and os.path.exists(f"{cache}/index.{k}")]
         if kinds:
             self.load_index(f"{cache}/index.{kinds[0]}", kinds[0])
-            return self
+            return self._with_stored_notes()
         index = index_files(self._files, lang, mode)
         self.index = I.SymbolIndex(*[materialise(df, "index") for df in (index.definitions, index.references, index.calls)], mode)
         if persist != "none":
             os.makedirs(cache, exist_ok=True)
             kind = "json" if persist == "auto" else persist
             self.dump_index(f"{cache}/index.{kind}", kind)
+        return self._with_stored_notes()
+
+    def _with_stored_notes(self) -> CodeAnalytics:
+        """Notes that were submitted in earlier sessions, beside whatever the stored index holds."""
+        path = os.path.join(self._store or "", NOTES)
+        if self._store and os.path.isfile(path):
+            with open(path, encoding="utf-8") as f:
+                rows = [json.loads(line) for line in f]
+            self._notes = len(rows)
+            schema = T_.StructType([*PLACED.fields, T_.StructField("llm_note", NOTE), T_.StructField("seq", T_.LongType())])
+            lines = self.spark.createDataFrame([(json.dumps(r),) for r in rows], "j string")
+            self._index = self.index.append(definitions=lines.select(F.from_json("j", schema).alias("r")).select("r.symbol", "r.location", F.lit(None).cast("string").alias("doc"), "r.llm_note", "r.seq"))
         return self
 
     def index_file(self, path: str, lang: str) -> CodeAnalytics:
@@ -102,11 +120,16 @@ class CodeAnalytics:
         return self.index.sorted_symbols()
 
     def query_symbol(self, type_: str | None = None, name: str | None = None, class_name: str | None = None, regex: str | None = None, with_code: bool = True) -> DataFrame:
-        """By key (type and name), by name, or by pattern; definitions and references, with their source."""
+        """By key (type, name and class), by name (of one type or all), or by pattern; definitions and references, with their source.
+
+        A method without a class is asked by name: methods of that name in every class, and calls of methods whose class is not known.
+        """
         if regex is not None:
             rows = I.query_by_regex(self.index, regex, type_ or "all")
         elif name is None:
             raise ValueError("a name or a pattern is needed")
+        elif type_ == "method" and class_name is None:
+            rows = I.query_by_name(self.index, name, type_)
         elif type_ is not None:
             rows = I.query_by_key(self.index, type_, name, class_name)
         else:
@@ -114,7 +137,8 @@ class CodeAnalytics:
         return I.with_source(rows, self._files) if with_code and self._files is not None else rows
 
     def get_symbol_info(self, type_: str, name: str, class_name: str | None = None) -> DataFrame:
-        return self.index.info().where(I.is_symbol(F.col("symbol"), type_, name, class_name))
+        """The document of one symbol; only its own facts are gathered."""
+        return self.index.info(I.is_symbol(F.col("symbol"), type_, name, class_name))
 
     def get_llm_note(self, type_: str, name: str, class_name: str | None = None) -> DataFrame:
         return self.index.notes(type_, name, class_name)
@@ -229,14 +253,20 @@ class CodeAnalytics:
         return self.tasks.progress().first()["text"]
 
     def submit_definition_task(self, task_id: int, description: str, potential_vulnerabilities: str = "", control_flow: str = "") -> None:
-        """Store the note on the definition and mark its task."""
+        """Store the note on the definition, also beside the stored index, and mark its task."""
         row = self.tasks.tasks.where(F.col("task_id") == task_id).first()
         if row is None:
             raise KeyError(task_id)
         self._tasks = self.tasks.submit(task_id, description)
-        note = F.struct(*[F.lit(v).alias(n) for n, v in (("description", description), ("potential_vulnerabilities", potential_vulnerabilities), ("control_flow", control_flow))])
+        values = {"description": description, "potential_vulnerabilities": potential_vulnerabilities, "control_flow": control_flow}
+        note = F.struct(*[F.lit(v).alias(n) for n, v in values.items()])
         own = self.index.all_definitions().where((F.col("location") == F.struct(*[F.lit(v).alias(n) for n, v in row["location"].asDict().items()])))
         # the latest note wins: its number is above every place in a file
-        self._notes.append((task_id, description))
-        more = materialise(own.select("symbol", "location", F.lit(None).cast("string").alias("doc"), note.alias("llm_note"), F.lit((1 << 40) + len(self._notes)).alias("seq")), "note")
+        self._notes += 1
+        more = materialise(own.select("symbol", "location", F.lit(None).cast("string").alias("doc"), note.alias("llm_note"), F.lit((1 << 40) + self._notes).alias("seq")), "note")
         self._index = self.index.append(definitions=more)
+        if self._store:
+            os.makedirs(self._store, exist_ok=True)
+            with open(os.path.join(self._store, NOTES), "a", encoding="utf-8") as f:
+                for r in more.select("symbol", "location", "llm_note", "seq").toLocalIterator():
+                    f.write(json.dumps(r.asDict(True), ensure_ascii=False) + "\n")

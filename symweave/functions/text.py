@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Line boundaries besides line feed and carriage return (fixed values of Python's splitlines).
 OTHER_BREAKS = "\x0b\x0c\x1c\x1d\x1e\x85  "
@@ -77,8 +76,3 @@ def clean_docstring(doc: Column) -> Column:
         long_enough = F.length(s) >= 2 * n
         out = F.when(s.startswith(mark) & s.endswith(mark) & long_enough, F.trim(F.substring(s, F.lit(n + 1), F.length(s) - 2 * n), F.lit(" \t\r\n"))).otherwise(out)
     return out
-
-
-def python_splitlines(column: str) -> Column:
-    """The measure for ``lines``; used in tests."""
-    return F.pandas_udf(lambda text: text.map(lambda t: None if t is None else t.splitlines()), T.ArrayType(T.StringType()), F.PandasUDFType.SCALAR)(column)

@@ -39,9 +39,9 @@ class CallGraph:
 
     def stats(self) -> DataFrame:
         """(num_nodes, num_edges, unresolved_calls): edges are counted with their parallels."""
-        parts = [self.nodes.agg(F.count("*").alias("num_nodes")), self.edges.agg(F.count("*").alias("num_edges")), self.unresolved.agg(F.count("*").alias("unresolved_calls"))]
-        rows = [p.first()[0] for p in parts]
-        return self.nodes.sparkSession.createDataFrame([tuple(rows)], "num_nodes long, num_edges long, unresolved_calls long")
+        kinds = [df.select(F.lit(name).alias("k")) for name, df in (("num_nodes", self.nodes), ("num_edges", self.edges), ("unresolved_calls", self.unresolved))]
+        both = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+        return both.agg(*[F.count(F.when(F.col("k") == name, 1)).alias(name) for name in ("num_nodes", "num_edges", "unresolved_calls")])
 
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:
@@ -62,17 +62,19 @@ def call_graph(index: SymbolIndex, expand_calls: bool = True, direction: str = F
 
     ``entrypoints`` (column ``location``) prunes to what they reach.
     """
-    definitions = materialise(index.all_definitions().select("symbol", "location"), "definitions")
+    calls = materialise(index.calls, "calls")
+    definitions = materialise(replace(index, calls=calls).all_definitions().select("symbol", "location"), "definitions")
     owned = definitions.groupBy("location").agg(F.min("symbol").alias("owner"))
     nodes = numbered(owned, [F.col("location.file_path"), F.col("location.start_byte"), F.col("location.end_byte"), F.col("location")], "node_id")
     at = nodes.select("location", "node_id")
-    # numbers are joined to definitions and to calls once, before calls fan out to their targets
+    # numbers are joined to definitions and to calls once, before calls fan out to their targets; edges and unresolved calls come from one table
     targets = definitions.join(at, "location")
-    calls = index.calls.join(at.select(F.col("location").alias("__l"), F.col("node_id").alias("src")), F.col("caller.location") == F.col("__l")).drop("__l")
-    found = resolve.call_edges(calls, targets, expand_calls).withColumn("dst", F.col("target.node_id"))
+    sited = resolve.sites(calls, definitions).join(at.select(F.col("location").alias("__l"), F.col("node_id").alias("src")), F.col("caller.location") == F.col("__l"), "left").drop("__l")
+    sited = materialise(sited, "sites")
+    found = resolve.edges_of(sited.where("src is not null"), targets, expand_calls).withColumn("dst", F.col("target.node_id"))
     order = Window.partitionBy("src").orderBy("callee.location.start_byte", "callee.location", "seq", "dst")
     edges = found.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long")).select("src", "dst", "ordinal", "kind")
-    graph = CallGraph(nodes, directed(materialise(edges, "edges"), direction), resolve.unresolved(index.calls, definitions, expand_calls))
+    graph = CallGraph(nodes, directed(materialise(edges, "edges"), direction), resolve.unresolved_of(sited, expand_calls))
     if entrypoints is None:
         return graph
     roots = nodes.join(entrypoints.select("location").distinct(), "location", "left_semi").select("node_id")
@@ -99,10 +101,11 @@ def subgraph(graph: CallGraph, roots: DataFrame | None = None, depth: int | None
 # ---- strategies ------------------------------------------------------------
 
 
-def _local(edges: DataFrame, strategy: str) -> bool:
+def _local(edges: DataFrame, strategy: str, *others: DataFrame) -> bool:
+    """Whether one task may hold the edges and the other tables, each counted up to the bound."""
     if strategy not in ("auto", "local", "distributed"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    return strategy == "local" or strategy == "auto" and edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES
+    return strategy == "local" or strategy == "auto" and all(df.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES for df in (edges, *others))
 
 
 def _in_one_task(inputs: list[DataFrame], solve: Callable[..., list[np.ndarray]], schema: str, names: list[str]) -> DataFrame:
@@ -173,7 +176,7 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int | None = None, stra
     """(node_id, level): what the roots reach, with the least number of steps; at most ``depth`` steps."""
     pairs = edges.select("src", "dst")
     roots = roots.select("node_id").distinct()
-    if _local(pairs, strategy):
+    if _local(pairs, strategy, roots):
 
         def solve(e: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
             graph = Adjacency(e[:, 0], e[:, 1], None, r[:, 0])
@@ -239,7 +242,7 @@ def tarjan(graph: Adjacency) -> np.ndarray:
 def components(nodes: DataFrame, edges: DataFrame, strategy: str = "auto") -> DataFrame:
     """(node_id, scc_id): strongly connected components, named by their least node."""
     pairs, ids = edges.select("src", "dst"), nodes.select("node_id")
-    if _local(pairs, strategy):
+    if _local(pairs, strategy, ids):
 
         def solve(e: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
             graph = Adjacency(e[:, 0], e[:, 1], None, n[:, 0])
@@ -318,12 +321,29 @@ def starting_nodes(nodes: DataFrame, edges: DataFrame, direction: str = FORWARD,
     return sccs.join(found, "scc_id", "left_semi")
 
 
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, n_in, n_out) of every node; parallel edges count each."""
+    ends = edges.select(F.col("src").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("dst").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    each = ends.groupBy("node_id").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
+    return nodes.select("node_id").join(each, "node_id", "left").fillna(0, ["n_in", "n_out"])
+
+
+def plain_starts(nodes: DataFrame, edges: DataFrame, direction: str = FORWARD) -> DataFrame:
+    """(node_id, rank) without components: nodes without an edge in (without one out for the other directions); where there are none, the first node (the last)."""
+    ahead = direction == FORWARD
+    found = degrees(nodes, edges).where(F.col("n_in" if ahead else "n_out") == 0).select("node_id", F.col("node_id").alias("rank"))
+    if not found.isEmpty():
+        return found
+    end = nodes.agg((F.min if ahead else F.max)("node_id").alias("node_id")).where("node_id is not null")
+    return end.select("node_id", F.col("node_id").alias("rank"))
+
+
 def bfs_order(nodes: DataFrame, edges: DataFrame, starts: DataFrame, strategy: str = "auto") -> DataFrame:
     """(node_id, position): plain breadth-first order; starts in their ``rank``, unreached nodes after the others by number."""
     links = edges.select("src", "dst", "ordinal")
     ids = nodes.select("node_id")
     firsts = starts.join(ids, "node_id", "left_semi").select("node_id", "rank")
-    if _local(links, strategy):
+    if _local(links, strategy, ids, firsts):
 
         def solve(e: np.ndarray, n: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
             graph = Adjacency(e[:, 0], e[:, 1], e[:, 2], n[:, 0])

@@ -102,10 +102,11 @@ class SymbolIndex:
         """Symbols in the order of their printed form: functions, then methods, then names, then classes with none last."""
         return self.symbols().orderBy("symbol.type", "symbol.name", F.col("symbol.class_name").asc_nulls_last())
 
-    def info(self) -> DataFrame:
-        """(symbol, definitions, references): the nested document of each symbol."""
-        d = self.all_definitions().join(self.calls_by_definition(), _KEY, "left") if self.mode == "crossref" else self.definitions.join(self.calls_by_definition(), _KEY, "left")
-        r = self.all_references().join(self.called_by(), _KEY, "left")
+    def info(self, of: Column | None = None) -> DataFrame:
+        """(symbol, definitions, references): the nested document of each symbol, or of those that meet a condition on ``symbol``, which reaches the facts first."""
+        asked = (lambda df: df) if of is None else (lambda df: df.where(of))
+        d = asked(self.all_definitions() if self.mode == "crossref" else self.definitions).join(asked(self.calls_by_definition()), _KEY, "left")
+        r = asked(self.all_references()).join(asked(self.called_by()), _KEY, "left")
         none = F.array().cast("array<struct<symbol:struct<type:string,name:string,class_name:string>,location:struct<file_path:string,start_lineno:int,start_col:int,end_lineno:int,end_col:int,start_byte:int,end_byte:int>>>")
         entry_d = F.struct("seq", "location", "doc", F.coalesce("calls", none).alias("calls"), "llm_note")
         entry_r = F.struct("seq", "location", F.coalesce("called_by", none).alias("called_by"))
@@ -136,7 +137,7 @@ class SymbolIndex:
 
     def get(self, type_: str, name: str, class_name: str | None = None):
         """The document of one symbol; KeyError if there is none."""
-        row = self.info().where(is_symbol(F.col("symbol"), type_, name, class_name)).first()
+        row = self.info(is_symbol(F.col("symbol"), type_, name, class_name)).first()
         if row is None:
             raise KeyError(f"{type_} {name} of {class_name}")
         return row
@@ -198,13 +199,14 @@ def regex_filter(c: Column, pattern: str) -> Column:
 
 def _python_search(pattern: str):
     """Search by Python's own dialect, for patterns that Java has no form of."""
-    from pyspark.sql.types import BooleanType
+    import pandas as pd
 
-    def search(names):
+    def search(names: pd.Series) -> pd.Series:
         found = re.compile(pattern)
         return names.map(lambda x: None if x is None else found.search(x) is not None)
 
-    return F.pandas_udf(search, BooleanType(), F.PandasUDFType.SCALAR)
+    search.__annotations__ = {"names": pd.Series, "return": pd.Series}
+    return F.pandas_udf(search, "boolean")
 
 
 def facts(index: SymbolIndex, condition: Column) -> DataFrame:

@@ -24,21 +24,29 @@ def sites(calls: DataFrame, definitions: DataFrame) -> DataFrame:
 
 def call_edges(calls: DataFrame, definitions: DataFrame, expand_calls: bool = True) -> DataFrame:
     """(caller, callee, seq, target, kind): one row for each call site and target; parallel edges stay."""
+    return edges_of(sites(calls, definitions), definitions, expand_calls)
+
+
+def edges_of(found: DataFrame, definitions: DataFrame, expand_calls: bool = True) -> DataFrame:
+    """The edges of call sites whose targets are counted."""
     wanted = F.col("n_targets") >= 1 if expand_calls else F.col("n_targets") == 1
     carried = [c for c in ("symbol", "location", "node_id") if c in definitions.columns]
     targets = definitions.select(F.struct(*carried).alias("target"))
-    found = sites(calls, definitions).where(wanted)
-    joined = found.join(targets, same_symbol(F.col("callee.symbol"), F.col("target.symbol")))
+    joined = found.where(wanted).join(targets, same_symbol(F.col("callee.symbol"), F.col("target.symbol")))
     return joined.withColumn("kind", F.when(F.col("n_targets") == 1, MUST).otherwise(MAY)).drop("n_targets")
 
 
 def unresolved(calls: DataFrame, definitions: DataFrame, expand_calls: bool = True) -> DataFrame:
     """(caller, via_symbol, callsite, reason) of call sites that get no edge."""
+    return unresolved_of(sites(calls, definitions), expand_calls)
+
+
+def unresolved_of(found: DataFrame, expand_calls: bool = True) -> DataFrame:
+    """The unresolved ones of call sites whose targets are counted."""
     reason = F.when(F.col("n_targets") == 0, NO_DEFINITIONS)
     if not expand_calls:
         reason = reason.when(F.col("n_targets") > 1, AMBIGUOUS)
-    found = sites(calls, definitions).withColumn("reason", reason).where("reason is not null")
-    return found.select("caller", F.col("callee.symbol").alias("via_symbol"), F.col("callee.location").alias("callsite"), "reason")
+    return found.withColumn("reason", reason).where("reason is not null").select("caller", F.col("callee.symbol").alias("via_symbol"), F.col("callee.location").alias("callsite"), "reason")
 
 
 def summary(calls: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -52,9 +52,6 @@ dag AS (SELECT DISTINCT s.scc_id AS src_scc, d.scc_id AS dst_scc FROM pairs JOIN
 """
 
 
-
-
-
 def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = f
@@ -198,16 +195,13 @@ def index_totals(spark, d):
 # ---- cross references and changes ------------------------------------------
 
 
-@query("crossref_called_by", f"WITH {PARTS}, x AS (SELECT type, name, class_name, site_file, site_byte, caller_key, min(seq) AS seq FROM calls GROUP BY ALL) SELECT type, name, class_name, site_file AS file_path, CAST(site_byte AS BIGINT) AS start_byte, string_agg(CAST(caller_key * 100 AS VARCHAR), ',' ORDER BY seq, c.name, caller_key) AS callers FROM (SELECT x.*, s.name AS n2 FROM x JOIN sym s ON s.p_partkey = x.caller_key) AS c GROUP BY type, name, class_name, site_file, site_byte")
+@query("crossref_called_by", f"WITH {PARTS}, x AS (SELECT DISTINCT type, name, class_name, site_file, site_byte, caller_key FROM calls) SELECT type, name, class_name, site_file AS file_path, CAST(site_byte AS BIGINT) AS start_byte, string_agg(CAST(caller_key * 100 AS VARCHAR), ',' ORDER BY caller_key) AS callers FROM x GROUP BY type, name, class_name, site_file, site_byte")
 def crossref_called_by(spark, d):
     c = X.part_index(spark, d).called_by()
     order = F.array_sort(F.transform("called_by", lambda x: x["location"]["start_byte"]))
     return c.select("symbol.*", "location.file_path", F.col("location.start_byte").cast("long").alias("start_byte"), F.array_join(F.transform(order, lambda x: x.cast("string")), ",").alias("callers"))
 
 
-ORACLES["crossref_called_by"] = f"WITH {PARTS}, x AS (SELECT DISTINCT type, name, class_name, site_file, site_byte, caller_key FROM calls) SELECT type, name, class_name, site_file AS file_path, CAST(site_byte AS BIGINT) AS start_byte, string_agg(CAST(caller_key * 100 AS VARCHAR), ',' ORDER BY caller_key) AS callers FROM x GROUP BY type, name, class_name, site_file, site_byte"
-
-
 @query("crossref_calls", f"WITH {PARTS}, x AS (SELECT DISTINCT caller_key, type, name, class_name, site_file, site_byte FROM calls) SELECT CAST(caller_key * 100 AS BIGINT) AS start_byte, count(*) AS n_calls, string_agg(name || '@' || CAST(site_byte AS VARCHAR), ',' ORDER BY site_byte, name) AS called FROM x GROUP BY caller_key")
 def crossref_calls(spark, d):
     c = X.part_index(spark, d).calls_by_definition()
@@ -311,16 +305,13 @@ def subgraph_edges(spark, d):
     return G.subgraph(g, _roots(spark, d), 5).edges.select("src", "dst", "ordinal")
 
 
-@query("entrypoint_pruned_stats", f"WITH {PARTS}, roots AS (SELECT p_partkey FROM defs WHERE p_brand = (SELECT min(p_brand) FROM defs)), hop AS (SELECT p_partkey FROM roots) SELECT 1")
+@query("entrypoint_pruned_stats", f"WITH RECURSIVE {PARTS}, roots AS (SELECT p_partkey FROM defs WHERE p_brand = (SELECT min(p_brand) FROM defs)), hops AS (SELECT DISTINCT caller_key, target_key FROM edges), walk AS (SELECT p_partkey AS k FROM roots UNION SELECT target_key FROM walk JOIN hops ON caller_key = k) SELECT (SELECT count(*) FROM walk) AS num_nodes, (SELECT count(*) FROM edges WHERE caller_key IN (SELECT k FROM walk) AND target_key IN (SELECT k FROM walk)) AS num_edges, (SELECT count(*) FROM sites WHERE n = 0) AS unresolved_calls")
 def entrypoint_pruned_stats(spark, d):
     x = X.part_index(spark, d)
     first = x.definitions.agg(F.min("location.file_path")).first()[0]
     return G.call_graph(x, entrypoints=x.definitions.where(F.col("location.file_path") == first)).stats()
 
 
-ORACLES["entrypoint_pruned_stats"] = f"WITH RECURSIVE {PARTS}, roots AS (SELECT p_partkey FROM defs WHERE p_brand = (SELECT min(p_brand) FROM defs)), hops AS (SELECT DISTINCT caller_key, target_key FROM edges), walk AS (SELECT p_partkey AS k FROM roots UNION SELECT target_key FROM walk JOIN hops ON caller_key = k) SELECT (SELECT count(*) FROM walk) AS num_nodes, (SELECT count(*) FROM edges WHERE caller_key IN (SELECT k FROM walk) AND target_key IN (SELECT k FROM walk)) AS num_edges, (SELECT count(*) FROM sites WHERE n = 0) AS unresolved_calls"
-
-
 def _sccs(spark, d):
     nodes, edges = _chain(spark, d)
     return edges, materialise(G.components(nodes, edges), "sccs")
@@ -360,13 +351,6 @@ def graph_overview(spark, d):
     return spark.createDataFrame([row], "num_nodes long, num_edges long, num_sccs long, largest long, scc_edges long")
 
 
-@query("bfs_order")
-def bfs_order(spark, d):
-    nodes, edges = _chain(spark, d)
-    starts = _roots(spark, d).withColumn("rank", F.col("node_id"))
-    return G.bfs_order(nodes, edges, starts)
-
-
 def _ends(spark, d):
     """The first and the fourth customer of a chain."""
     w = table(spark, d, "customer").where("c_nationkey = 0").orderBy("c_acctbal", "c_custkey").select("c_custkey").limit(4).collect()
@@ -395,6 +379,32 @@ query("paths_node_k3", _PART_PATHS.format(n=3, k=3))(lambda s, d: _part_paths(s,
 query("paths_max_depth", _PART_PATHS.format(n=2, k=10))(lambda s, d: _part_paths(s, d, 10, 2))
 
 
+_IN_OUT = "ins AS (SELECT dst AS node_id, count(*) AS n FROM ordered GROUP BY dst), outs AS (SELECT src AS node_id, count(*) AS n FROM ordered GROUP BY src)"
+
+
+@query("node_degrees", f"WITH {PARTS}, {_NODES}, {_ORDERED}, {_IN_OUT} SELECT n.node_id, CAST(coalesce(ins.n, 0) AS BIGINT) AS n_in, CAST(coalesce(outs.n, 0) AS BIGINT) AS n_out FROM nodes n LEFT JOIN ins ON ins.node_id = n.node_id LEFT JOIN outs ON outs.node_id = n.node_id")
+def node_degrees(spark, d):
+    g = G.call_graph(X.part_index(spark, d))
+    return G.degrees(g.nodes, g.edges)
+
+
+# the state of a walk is one row: what is seen, in order, and the last level; a node's place follows its first parent's place and the edge's ordinal
+_WALK = """walk AS (
+  SELECT coalesce((SELECT list(node_id ORDER BY node_id) FROM nodes WHERE node_id NOT IN (SELECT dst FROM ordered)), [CAST(0 AS BIGINT)]) AS seen, coalesce((SELECT list(node_id ORDER BY node_id) FROM nodes WHERE node_id NOT IN (SELECT dst FROM ordered)), [CAST(0 AS BIGINT)]) AS front
+  UNION ALL
+  SELECT list_concat(seen, fresh), fresh FROM (
+    SELECT seen, (SELECT list(dst ORDER BY k) FROM (SELECT dst, min((pos, ordinal, dst)) AS k FROM (SELECT unnest(front) AS src, generate_subscripts(front, 1) AS pos) f JOIN ordered o ON o.src = f.src WHERE NOT list_contains(seen, dst) GROUP BY dst)) AS fresh
+    FROM walk) WHERE fresh IS NOT NULL),
+whole AS (SELECT list_concat(seen, coalesce((SELECT list(node_id ORDER BY node_id) FROM nodes WHERE NOT list_contains(seen, node_id)), [])) AS l FROM walk ORDER BY len(seen) DESC LIMIT 1)"""
+
+
+@query("bfs_order", f"WITH RECURSIVE {PARTS}, {_NODES}, {_ORDERED}, {_WALK} SELECT unnest(l) AS node_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS position FROM whole")
+def bfs_order(spark, d):
+    """The whole graph of the parts, from the nodes that nobody calls."""
+    g = G.call_graph(X.part_index(spark, d))
+    return G.bfs_order(g.nodes, g.edges, G.plain_starts(g.nodes, g.edges))
+
+
 @query("paths_scc", f"WITH RECURSIVE {CHAIN}, {CLOSURE}, {_ENDS}, goal AS (SELECT (SELECT scc_id FROM scc WHERE node_id = a) AS a, (SELECT scc_id FROM scc WHERE node_id = b) AS b FROM ends), walk AS (SELECT [a] AS nodes, a AS last FROM goal UNION ALL SELECT list_append(nodes, dst_scc), dst_scc FROM walk JOIN dag ON src_scc = last, goal WHERE last <> b) SELECT CAST(0 AS INTEGER) AS path_no, array_to_string(nodes, '->') AS path FROM walk, goal WHERE last = b")
 def paths_scc(spark, d):
     edges, sccs = _sccs(spark, d)
@@ -410,10 +420,10 @@ def paths_hybrid_segments(spark, d):
 
 # ---- text ------------------------------------------------------------------
 
-query("slice_lines", "SELECT doc_id, array_to_string(list_slice(CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END, 2, 4), chr(10)) AS lines FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)")(lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", T.line_slice(F.col("text"), 2, 4).alias("lines")))
-query("slice_bytes", "SELECT doc_id, octet_length(encode(text)[4:20]) AS n_bytes, sha256(encode(text)[4:20]) AS digest FROM documents WHERE text IS NOT NULL")(lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.substring(F.col("text").cast("binary"), 4, 17).alias("b")).select("doc_id", F.octet_length("b").cast("long").alias("n_bytes"), F.sha2("b", 256).alias("digest")))
-query("slice_clamped", "SELECT doc_id, array_to_string(list_slice(CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END, 1, 1000000), chr(10)) AS lines FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)")(lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", T.line_slice(F.col("text"), -5, 1_000_000).alias("lines")))
-query("line_counts", "SELECT doc_id, CAST(len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END AS BIGINT) AS n_lines FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)")(lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", T.line_count(F.col("text")).cast("long").alias("n_lines")))
+query("slice_lines", "SELECT doc_id, array_to_string(list_slice(CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END, 2, 4), chr(10)) AS lines FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")(lambda s, d: table(s, d, "documents").select("doc_id", T.line_slice(F.col("text"), 2, 4).alias("lines")))
+query("slice_bytes", "SELECT doc_id, try(decode(encode(text)[4:20])) AS part, octet_length(encode(try(decode(encode(text)[4:20])))) AS n_bytes FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", T.byte_slice(F.col("text").cast("binary"), 3, 20, strict=False).alias("part")).withColumn("n_bytes", F.octet_length("part").cast("long")))
+query("slice_clamped", "SELECT doc_id, array_to_string(list_slice(CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END, 1, 1000000), chr(10)) AS lines FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")(lambda s, d: table(s, d, "documents").select("doc_id", T.line_slice(F.col("text"), -5, 1_000_000).alias("lines")))
+query("line_counts", "SELECT doc_id, CAST(len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END AS BIGINT) AS n_lines FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")(lambda s, d: table(s, d, "documents").select("doc_id", T.line_count(F.col("text")).cast("long").alias("n_lines")))
 query("clean_comments", "SELECT page_id, trim(m[5 : len(m) - 3]) AS comment FROM (SELECT page_id, unnest(regexp_extract_all(html, '<!--[^>]*-->')) AS m FROM pages)")(lambda s, d: table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<!--([^>]*)-->"), F.lit(1))).alias("m")).select("page_id", T.clean_comment(F.concat(F.lit("/*"), F.col("m"), F.lit("*/"))).alias("comment")))
 query("reference_scan_links", "SELECT target, count(*) AS links, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target FROM pages) GROUP BY target")(lambda s, d: table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target")).groupBy("target").agg(F.count("*").alias("links"), F.countDistinct("page_id").alias("pages")))
 
@@ -512,3 +522,196 @@ def index_difference(spark, d):
     y = x.delete("function", _asked(spark, d, "function"))
     found = difference(x, I.SymbolIndex(y.definitions, x.references, x.calls, "simple"))
     return found.select("side", "kind", "symbol.*", F.col("location.start_byte").cast("long").alias("start_byte"))
+
+
+# ---- stores ------------------------------------------------------------------
+
+
+def _stored(spark, d, kind, mode="crossref"):
+    """The parts' index written to a store of that kind and read again."""
+    import os
+
+    from symweave.sources import json_index, sqlite
+    from symweave.storage import local_folder
+
+    write, read = {"json": (json_index.write_json, json_index.read_json), "sqlite": (sqlite.write_sqlite, sqlite.read_sqlite), "parquet": (json_index.write_parquet, json_index.read_parquet)}[kind]
+    path = os.path.join(local_folder(spark, f"store-{kind}"), f"index.{kind}")
+    x = X.part_index(spark, d, mode)
+    write(I.SymbolIndex(materialise(x.definitions, "definitions"), materialise(x.references, "references"), materialise(x.calls, "calls"), mode), path)
+    return read(spark, path)
+
+
+def _all_facts(x):
+    return flat_definitions(x.all_definitions()).unionByName(flat_references(x.all_references()))
+
+
+def _placed_calls(x):
+    return x.calls.select(F.col("caller.location.start_byte").cast("long").alias("caller_byte"), F.col("callee.symbol.name").alias("name"), F.col("callee.location.file_path").alias("file_path"), F.col("callee.location.start_byte").cast("long").alias("site_byte")).distinct()
+
+
+_PLACED_CALLS = f"WITH {PARTS} SELECT DISTINCT CAST(caller_key * 100 AS BIGINT) AS caller_byte, name, site_file AS file_path, CAST(site_byte AS BIGINT) AS site_byte FROM calls"
+for _kind in ("json", "sqlite", "parquet"):
+    query(f"store_{_kind}_facts", f"WITH {PARTS} {_FACTS}")(lambda s, d, kind=_kind: _all_facts(_stored(s, d, kind)))
+    query(f"store_{_kind}_calls", _PLACED_CALLS)(lambda s, d, kind=_kind: _placed_calls(_stored(s, d, kind)))
+for _kind in ("json", "parquet"):  # the tables of an SQLite store have no place for document strings
+    query(f"store_{_kind}_docs", f"WITH {PARTS} SELECT type, name, class_name, CAST(start_byte AS BIGINT) AS start_byte, p_type AS doc FROM defs")(lambda s, d, kind=_kind: _stored(s, d, kind).all_definitions().select("symbol.*", F.col("location.start_byte").cast("long").alias("start_byte"), "doc"))
+query("store_json_simple", f"WITH {PARTS} {_FACTS} WHERE kind = 'definition'")(lambda s, d: flat_definitions(_stored(s, d, "json", "simple").definitions))
+
+
+@query("store_sqlite_tables", f"WITH {PARTS} SELECT 'symbols' AS name, (SELECT count(*) FROM (SELECT DISTINCT type, name, class_name FROM facts)) AS n UNION ALL SELECT 'code_locations', (SELECT count(*) FROM (SELECT DISTINCT file_path, start_byte, kind FROM facts)) UNION ALL SELECT 'definitions', (SELECT count(*) FROM facts WHERE kind = 'definition') UNION ALL SELECT 'references', (SELECT count(*) FROM facts WHERE kind = 'reference') UNION ALL SELECT 'definition_references', (SELECT count(*) FROM (SELECT DISTINCT caller_key, type, name, class_name, site_file, site_byte FROM calls))")
+def store_sqlite_tables(spark, d):
+    from symweave.sources.sqlite import normalised
+
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in normalised(X.part_index(spark, d)).items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ---- a project of files, scanned, loaded, fetched and asked through the facade ----
+
+PROJECT = """
+place AS (SELECT lower(replace(r_name, ' ', '_')) AS region, lower(replace(n_name, ' ', '_')) AS nation, r_name, n_name, lead(lower(replace(n_name, ' ', '_'))) OVER (PARTITION BY r_name ORDER BY n_name) AS following, row_number() OVER (PARTITION BY r_name ORDER BY n_name) AS seat
+  FROM nation JOIN region ON n_regionkey = r_regionkey),
+modules AS (SELECT region || '/' || nation || '.py' AS file_path, 'def ' || nation || '():' || chr(10) || '    ' || repeat(chr(34), 3) || n_name || ' of ' || r_name || '.' || repeat(chr(34), 3) || chr(10) || '    ' || region || '(1)' || chr(10) || coalesce('    ' || following || '()' || chr(10), '') AS content FROM place
+  UNION ALL SELECT DISTINCT region || '.py', 'class ' || region || '_office:' || chr(10) || '    def open(self):' || chr(10) || '        self.close()' || chr(10) || chr(10) || '    def close(self):' || chr(10) || '        pass' || chr(10) FROM place),
+offices AS (SELECT DISTINCT region FROM place),
+project_defs AS (SELECT 'function' AS type, nation AS name, CAST(NULL AS VARCHAR) AS class_name, region || '/' || nation || '.py' AS file_path, 1 AS line, n_name || ' of ' || r_name || '.' AS doc FROM place
+  UNION ALL SELECT 'method', m, region || '_office', region || '.py', l, NULL FROM offices, (VALUES ('open', 2), ('close', 5)) v(m, l)),
+project_refs AS (SELECT 'function' AS type, region AS name, region || '/' || nation || '.py' AS file_path, 3 AS line, nation AS caller FROM place
+  UNION ALL SELECT 'function', following, region || '/' || nation || '.py', 4, nation FROM place WHERE following IS NOT NULL
+  UNION ALL SELECT 'method', 'close', region || '.py', 3, 'open' FROM offices)
+"""
+
+
+def _project(spark, d):
+    from symweave.sources.project import write_project
+
+    return write_project(spark, d)
+
+
+def _code(spark, d, persist="none"):
+    from symweave.api import CodeAnalytics
+
+    return CodeAnalytics(spark).setup_repo_index(_project(spark, d), "python", persist=persist)
+
+
+def _scanned(spark, d):
+    from symweave.sources.files import scan_project
+
+    return scan_project(spark, _project(spark, d), "python")
+
+
+query("project_scan", f"WITH {PROJECT} SELECT file_path, CAST(octet_length(encode(content)) AS BIGINT) AS n_bytes, sha256(content) AS digest FROM modules")(lambda s, d: _scanned(s, d).select("file_path", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("digest")))
+query("project_line_slice", f"WITH {PROJECT} SELECT file_path, string_split(content, chr(10))[2] || chr(10) || string_split(content, chr(10))[3] AS lines FROM modules")(lambda s, d: _scanned(s, d).select("file_path", T.line_slice(T.text_of(F.col("content")), 2, 3).alias("lines")))
+query("project_byte_slice", f"WITH {PROJECT} SELECT file_path, content[5:16] AS part FROM modules")(lambda s, d: _scanned(s, d).select("file_path", T.byte_slice(F.col("content"), 4, 16).alias("part")))
+query("project_definitions", f"WITH {PROJECT} SELECT type, name, class_name, file_path, CAST(line AS INTEGER) AS line, doc FROM project_defs")(lambda s, d: _code(s, d).index.all_definitions().select("symbol.*", "location.file_path", F.col("location.start_lineno").alias("line"), "doc"))
+query("project_references", f"WITH {PROJECT} SELECT type, name, file_path, CAST(line AS INTEGER) AS line FROM project_refs")(lambda s, d: _code(s, d).index.all_references().select("symbol.type", "symbol.name", "location.file_path", F.col("location.start_lineno").alias("line")))
+query("project_calls", f"WITH {PROJECT} SELECT caller, name AS callee, count(*) AS n FROM project_refs GROUP BY caller, name")(lambda s, d: _code(s, d).index.calls.groupBy(F.col("caller.symbol.name").alias("caller"), F.col("callee.symbol.name").alias("callee")).agg(F.count("*").alias("n")))
+query("project_cached_symbols", f"WITH {PROJECT} SELECT DISTINCT type, name, class_name FROM (SELECT type, name, class_name FROM project_defs UNION ALL SELECT type, name, NULL FROM project_refs)")(lambda s, d: _again(s, _code(s, d, "json")).get_all_symbols().select("symbol.*"))
+query("project_query_with_source", f"WITH {PROJECT} SELECT name, trim(content, chr(10)) AS source_code FROM project_defs JOIN modules USING (file_path) WHERE type = 'function'")(lambda s, d: _code(s, d).query_symbol("function", regex=".").where("kind = 'definition'").select(F.col("symbol.name").alias("name"), "source_code"))
+query("project_query_name_and_type", f"WITH {PROJECT} SELECT 'definition' AS kind, class_name, file_path, CAST(line AS INTEGER) AS line FROM project_defs WHERE type = 'method' AND name = 'close' UNION ALL SELECT 'reference', NULL, file_path, line FROM project_refs WHERE type = 'method' AND name = 'close'")(lambda s, d: _code(s, d).query_symbol("method", "close", with_code=False).select("kind", "symbol.class_name", "location.file_path", F.col("location.start_lineno").alias("line")))
+
+
+def _again(spark, code):
+    """The facade set up anew on a folder, from what the first one stored there."""
+    from symweave.api import CodeAnalytics
+
+    return CodeAnalytics(spark).setup_repo_index(code.root, "python")
+
+
+@query("project_symbol_info", f"WITH {PROJECT} SELECT name, (SELECT count(*) FROM project_refs r WHERE r.type = 'function' AND r.name = d.name) AS n_references FROM project_defs d WHERE type = 'function' AND name = (SELECT min(nation) FROM place)")
+def project_symbol_info(spark, d):
+    code = _code(spark, d)
+    name = code.index.all_definitions().where("symbol.type = 'function'").agg(F.min("symbol.name")).first()[0]
+    return code.get_symbol_info("function", name).select("symbol.name", F.size("references").cast("long").alias("n_references"))
+
+
+@query("project_single_file", f"WITH {PROJECT} SELECT file_path, content FROM modules WHERE file_path = (SELECT min(file_path) FROM modules)")
+def project_single_file(spark, d):
+    from symweave.sources.files import scan_file
+
+    root = _project(spark, d)
+    first = _first_file(root)
+    return scan_file(spark, f"{root}/{first}", "python", root).select("file_path", T.text_of(F.col("content")).alias("content"))
+
+
+def _first_file(root):
+    import os
+
+    return min(os.path.relpath(os.path.join(at, n), root) for at, _, names in os.walk(root) for n in names)
+
+
+@query("project_index_file", f"WITH {PROJECT} SELECT type, name, class_name FROM project_defs WHERE file_path = (SELECT min(file_path) FROM modules)")
+def project_index_file(spark, d):
+    from symweave.api import CodeAnalytics
+
+    root = _project(spark, d)
+    return CodeAnalytics(spark).index_file(f"{root}/{_first_file(root)}", "python").index.all_definitions().select("symbol.*")
+
+
+@query("project_fetch", f"WITH {PROJECT}, first AS (SELECT min(file_path) AS p FROM modules) SELECT content AS whole, string_split(content, chr(10))[1] AS line, content[1:3] AS bytes FROM modules JOIN first ON file_path = p")
+def project_fetch(spark, d):
+    code = _code(spark, d)
+    first = _first_file(code.root)
+    row = (code.fetch_source_code(first), code.fetch_source_code_by_lineno_range(first, 1, 1), code.fetch_source_code_by_byte_range(first, 0, 3))
+    return spark.createDataFrame([row], "whole string, line string, bytes string")
+
+
+@query("project_graph_overview", f"WITH {PROJECT} SELECT (SELECT count(*) FROM project_defs) AS num_nodes, (SELECT count(following) FROM place) AS num_edges, (SELECT count(*) FROM place) + (SELECT count(*) FROM offices) AS unresolved_calls, (SELECT count(*) FROM project_defs) AS sccs, CAST(10 AS BIGINT) AS entries, CAST(10 AS BIGINT) AS ends")
+def project_graph_overview(spark, d):
+    over = _code(spark, d).get_graph_overview()
+    row = (*[over["stats"][n] for n in ("num_nodes", "num_edges", "unresolved_calls")], over["sccs"].count(), len(over["entry_points"]), len(over["end_points"]))
+    return spark.createDataFrame([row], "num_nodes long, num_edges long, unresolved_calls long, sccs long, entries long, ends long")
+
+
+def _chain_ends(code):
+    """The first and the last function of the first region's chain."""
+    rows = code.index.all_definitions().where("symbol.type = 'function'").select(F.element_at(F.split("location.file_path", "/"), 1).alias("region"), "symbol.name")
+    region = rows.agg(F.min("region")).first()[0]
+    return rows.where(F.col("region") == region).agg(F.min("name"), F.max("name")).first()
+
+
+_FIRST_CHAIN = "chained AS (SELECT nation, seat FROM place WHERE region = (SELECT min(region) FROM place))"
+query("project_paths_rendered", f"WITH {PROJECT}, {_FIRST_CHAIN} SELECT CAST(0 AS INTEGER) AS path_no, string_agg(nation, '->' ORDER BY seat) AS text FROM chained")(lambda s, d: _paths(_code(s, d), "node"))
+query("project_paths_hybrid_rendered", f"WITH {PROJECT}, {_FIRST_CHAIN}, ids AS (SELECT name, row_number() OVER (ORDER BY file_path, line) - 1 AS id FROM project_defs) SELECT CAST(0 AS INTEGER) AS path_no, string_agg('SCC[' || CAST(id AS VARCHAR) || '](' || nation || ')', '->' ORDER BY seat) AS text FROM chained JOIN ids ON ids.name = nation")(lambda s, d: _paths(_code(s, d), "hybrid"))
+
+
+def _paths(code, mode):
+    a, b = _chain_ends(code)
+    return code.find_paths(("function", a, None), ("function", b, None), 2, mode).select("path_no", "text")
+
+
+@query("project_subgraph", f"WITH {PROJECT}, {_FIRST_CHAIN} SELECT nation AS name FROM chained WHERE seat <= 3")
+def project_subgraph(spark, d):
+    code = _code(spark, d)
+    roots = code.index.definitions_of("function", _chain_ends(code)[0])
+    return code.get_subgraph(roots, 2).nodes.select(F.col("owner.name").alias("name"))
+
+
+@query("project_tasks", f"WITH {PROJECT}, ids AS (SELECT *, row_number() OVER (ORDER BY file_path, line) - 1 AS id FROM project_defs) SELECT CAST(id AS BIGINT) AS task_id, type, name FROM ids WHERE id > 0")
+def project_tasks(spark, d):
+    """The tasks that are left after the first one is described, in a new session on the same folder."""
+    code = _code(spark, d, "json")
+    code.setup_describe_definitions()
+    code.submit_definition_task(0, "what it does")
+    return _again(spark, code).setup_describe_definitions().pending().select("task_id", "symbol.type", "symbol.name")
+
+
+@query("project_notes", f"WITH {PROJECT}, ids AS (SELECT *, row_number() OVER (ORDER BY file_path, line) - 1 AS id FROM project_defs) SELECT name, 'what it does' AS note FROM ids WHERE id = 0")
+def project_notes(spark, d):
+    code = _code(spark, d, "sqlite")
+    code.setup_describe_definitions()
+    code.submit_definition_task(0, "first thoughts")
+    code.setup_describe_definitions(skip_existing_notes=False)
+    code.submit_definition_task(0, "what it does")
+    return _again(spark, code).index.all_definitions().where("llm_note is not null").select("symbol.name", F.col("llm_note.description").alias("note"))
+
+
+@query("project_task_stats", f"WITH {PROJECT} SELECT '1/' || CAST(count(*) AS VARCHAR) || ' submitted, ' || CAST(count(*) - 1 AS VARCHAR) || ' pending' AS text FROM project_defs")
+def project_task_stats(spark, d):
+    code = _code(spark, d)
+    code.setup_describe_definitions()
+    code.submit_definition_task(3, "what it does")
+    return spark.createDataFrame([(code.get_stats_of_describe_definition_todolist(),)], "text string")

@@ -7,20 +7,24 @@ loss of an executor.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is set where it is unset (tests, local mode)."""
+    """The folder of ``spark.checkpoint.dir``; in local mode one is made where it is unset, on a cluster that is an error, as executors share no disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="symweave-shared-")
             spark.sparkContext.setCheckpointDir(found)
@@ -31,6 +35,16 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/symweave-{tag}-{uuid.uuid4().hex[:12]}"
 
 
+def local_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh folder that the driver writes by its path, for formats that have one writer; the shared folder must be mounted."""
+    at = urlparse(fresh_path(spark, tag))
+    if at.scheme not in ("", "file"):
+        raise RuntimeError(f"{at.scheme}: cannot be written by path; mount the shared folder")
+    path = unquote(at.path)
+    os.makedirs(path)
+    return path
+
+
 def few(spark: SparkSession) -> int:
     """Files for a narrow table: an eighth of the shuffle partitions, as opening and committing a file costs more than its rows."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
