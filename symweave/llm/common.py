@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symweave.storage import few, fresh_path, materialise, shared_dir, table
 
-__all__ = ["SHARE", "dealt_join", "few", "fresh_path", "id_bucket", "materialise", "regrouped", "shared_dir", "small_batches", "table", "unit_hash"]
+__all__ = ["SHARE", "dealt_join", "few", "fresh_path", "id_bucket", "materialise", "regrouped", "shared_dir", "small_batches", "table", "tree_sum", "unit_hash"]
 
 #: Rows and bytes of one Arrow batch handed to Python: the same for every operator, so that none changes another's batches.
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
@@ -38,6 +39,23 @@ def regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Recor
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def tree_sum(partials: DataFrame, shape: tuple[int, ...], groups: int = 16) -> np.ndarray:
+    """The sum of float64 arrays of one shape (column ``total``, one a task): summed in ``groups`` tasks first, so the driver gets that many."""
+    small_batches(partials.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                total += np.frombuffer(b).reshape(shape)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    total = np.zeros(shape)
+    for r in partials.select("total").repartition(groups).mapInArrow(run, "total binary").collect():
+        total += np.frombuffer(r[0]).reshape(shape)
+    return total
+
+
 def dealt_join(rows: DataFrame, once: DataFrame, on: list[str], by: list[str], how: str = "inner", share: int = SHARE) -> DataFrame:
     """``rows`` joined with ``once`` (one row a key); rows of a frequent key are dealt over tasks by the columns ``by``.
 

@@ -8,8 +8,11 @@ does not see calibrates its output: counts in fixed bins, also summed over
 partitions, and pool-adjacent-violators over the bins.
 
 Edge cases: null text counts as empty and is scored; labels other than 0 and 1
-and null labels are not learnt from; with no label every score is 0.5; repeated
-rows get equal scores; texts are read whole; further columns are ignored.
+and null labels are not learnt from; with no label every score is 0.5; where no
+label falls into the part that calibrates, those that the ridge saw calibrate
+it, and where all do, they are learnt from too; equal outputs share a bin, so
+ties get equal scores, as repeated rows do; texts are read whole; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symweave.llm.common import id_bucket, materialise, small_batches, table
+from symweave.llm.common import id_bucket, materialise, small_batches, table, tree_sum
 
 FEATURES = 256
 RIDGE = 1e-3
 BINS = 2048
 THRESHOLD = 0.3
 SEED = 11
-#: Tasks that sum over the labelled rows; each sends one matrix to the driver.
-SUMMERS = 24
 
 #: Byte classes whose share of a text is a statistic (fixed values).
 BYTE_CLASSES: tuple[bytes, ...] = (
@@ -118,7 +119,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def summed(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """The sum of ``part`` over all batches; each of at most ``SUMMERS`` tasks sends one array."""
+    """The sum of ``part`` over all batches: one array a partition, added up in two steps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
@@ -127,10 +128,7 @@ def summed(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], shape:
                 total += part(batch)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
-    total = np.zeros(shape)
-    for r in rows.coalesce(SUMMERS).mapInArrow(run, "total binary").collect():  # at most SUMMERS matrices
-        total += np.frombuffer(r[0]).reshape(shape)
-    return total
+    return tree_sum(rows.mapInArrow(run, "total binary"), shape)
 
 
 class FourierRidge:
@@ -183,6 +181,9 @@ def fit(labelled: DataFrame, features: int = FEATURES, ridge: float = RIDGE, lab
         return np.vstack([np.full(WIDTH, len(x)), x.sum(0), (x * x).sum(0)])
 
     n, first, second = summed(learn.select("stats"), moments, (3, WIDTH))
+    if not n[0]:
+        learn = labelled
+        n, first, second = summed(learn.select("stats"), moments, (3, WIDTH))
     if not n[0]:
         return None
     mean = first / n
@@ -204,6 +205,8 @@ def fit(labelled: DataFrame, features: int = FEATURES, ridge: float = RIDGE, lab
         return np.vstack([np.bincount(at, y, BINS), np.bincount(at, minlength=BINS)])
 
     ones, totals = summed(labelled.where("calibrate").select("stats", label), bins, (2, BINS))
+    if not totals.any():  # too few labels for a fold of their own: those that the ridge saw calibrate it too
+        ones, totals = summed(learn.select("stats", label), bins, (2, BINS))
     full = totals > 0
     if full.any():
         middle = low + (np.arange(BINS) + 0.5) * (high - low) / BINS
