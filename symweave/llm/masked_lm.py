@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symweave.llm.common import materialise, small_batches, table
+from symweave.llm.common import materialise, small_batches, table, tree_sum
 
 SIDE = 2
 HIDDEN = 32
 ROUNDS, BATCH, RATE, SEED = 4, 2048, 0.02, 3
-#: Distinct windows that one training task passes over, and the most tasks (each sends one set of weights a round).
-ROWS_A_TASK, MOST_TASKS = 100_000, 256
+#: Distinct windows that one training task passes over.
+ROWS_A_TASK = 100_000
 #: Bytes whose windows are made together.
 GROUP = 2_000_000
 #: Slots of a worker's memory of scored windows (12 bytes each).
@@ -176,7 +176,7 @@ def train(counts: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> WindowNe
     if not n:
         return None
     small_batches(spark)
-    shares = counts.repartition(max(1, min(MOST_TASKS, n // ROWS_A_TASK)), "window")
+    shares = counts.repartition(max(1, n // ROWS_A_TASK), "window")
     net = WindowNet(seed)
     sums = np.zeros(256)
     for r in counts.groupBy(F.expr("shiftright(window, 16) & 255").cast("int").alias("b")).agg(F.sum("n")).collect():  # at most 256 rows
@@ -193,13 +193,11 @@ def train(counts: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> WindowNe
                 order = np.argsort(keys)
                 own = WindowNet(seed).load(sent.value)
                 own.train_pass(keys[order], n[order], rate, seed * 1000 + k)
-                yield pa.RecordBatch.from_arrays([pa.array([float(n.sum())]), pa.array([own.flat().tobytes()], pa.binary())], names=["weight", "net"])
+                weighed = np.concatenate(([1.0], own.flat())) * float(n.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([weighed.tobytes()], pa.binary())], names=["total"])
 
-        total, flat = 0.0, np.zeros(net.flat().size)
-        for r in shares.mapInArrow(share, "weight double, net binary").collect():  # at most MOST_TASKS sets of 40 thousand weights
-            total += r[0]
-            flat += r[0] * np.frombuffer(r[1], np.float32)
-        net.load((flat / total).astype(np.float32))
+        flat = tree_sum(shares.mapInArrow(share, "total binary"), (net.flat().size + 1,))
+        net.load((flat[1:] / flat[0]).astype(np.float32))
     return net
 
 
