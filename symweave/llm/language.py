@@ -11,8 +11,10 @@ merged into pair tables for prediction, so no one-hot matrix is ever built.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0;
 rows without a label are predicted but never learnt from; with no labelled row
-at all every text is ``und``; repeated rows get equal answers; texts of any
-length are read whole; further columns are ignored.
+at all every text is ``und`` (and ``keep_identified`` keeps all documents, as
+there is nothing to reject them by); languages that tie go by the order of their
+names; repeated rows get equal answers; texts of any length are read whole;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Documents of each language that the network is fitted on, as expected under the hash sample.
 DOCS_PER_LANGUAGE = 500
+#: Bytes of one document that the network learns from: a stretch whose place a hash of the id tells.
+LEARNT_BYTES = 1 << 16
 STEPS, BATCH, RATE, SEED = 700, 128, 0.01, 7
 UNKNOWN = "und"
 #: Windows whose responses are held at once (1 MB for each table).
@@ -147,7 +151,10 @@ def train(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, key:
     if not counts:
         return None
     share = F.coalesce(*[F.when(F.col(label) == v, F.lit(min(1.0, docs_per_language / n))) for v, n in sorted(counts.items())])
-    rows = usable.where(unit_hash(key) < share).select(label, F.col(text).cast("binary")).collect()
+    data = F.col(text).cast("binary")
+    spare = F.greatest(F.octet_length(data) - LEARNT_BYTES, F.lit(0))
+    start = F.pmod(F.xxhash64(key), spare + 1).cast("int") + 1
+    rows = usable.where(unit_hash(key) < share).select(label, F.substring(data, start, F.lit(LEARNT_BYTES))).collect()
     labels = sorted(counts)
     rows = sorted(((r[0], bytes(r[1])) for r in rows if r[1]), key=lambda r: (r[0], r[1]))
     if not rows:
@@ -196,7 +203,9 @@ def predictions(net: ByteConvNet | None, texts: list[str | None]) -> tuple[list[
 
 
 def keep_identified(documents: DataFrame, net: ByteConvNet | None, least_score: float = 0.3, text: str = "text") -> DataFrame:
-    """Documents with a language: those that are ``und`` or below ``least_score`` go, the rest keep all their columns."""
+    """Documents with a language: those that are ``und`` or below ``least_score`` go, the rest keep all their columns; without a network all stay."""
+    if net is None:
+        return documents
     small_batches(documents.sparkSession)
     at = documents.columns.index(text)
     sent = documents.sparkSession.sparkContext.broadcast(net)
