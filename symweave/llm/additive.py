@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symweave.llm.common import materialise, small_batches, table, unit_hash
+from symweave.llm.common import materialise, regrouped, small_batches, table, unit_hash
 
 CODEBOOKS, ENTRIES, BEAM = 16, 256, 4
 TRAINING_ROWS = 8192
@@ -160,7 +160,7 @@ def encoded(rows: DataFrame, quantiser: AdditiveQuantiser) -> DataFrame:
     kind = rows.schema["vec_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in regrouped(batches, 1024):
             if batch.num_rows:
                 x = unit(stacked(batch.column(1)))
                 codes, norms = sent.value.encode(x)
@@ -230,9 +230,7 @@ def _search_block(index: DataFrame, sent, kind: str, neighbours: int, candidates
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser, names, queries = sent.value
         found: list[tuple[np.ndarray, np.ndarray]] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in regrouped(batches, SCAN_ROWS):
             order = np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")
             ids = batch.column(0).to_numpy(zero_copy_only=False)[order]
             codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)[order]
