@@ -85,7 +85,7 @@ class Compiled:
             model = json.load(f)
         self.vocab: dict[str, int] = model["model"]["vocab"]
         self.specials = [t["content"] for t in model["added_tokens"]]
-        self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
+        self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.kind = np.full(0x110000, 255, np.uint8)
         # the byte alphabet of byte-level vocabularies: printable bytes stand for themselves, others follow from 256
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
