@@ -59,6 +59,24 @@ def test_archives_round_trip(spark):
     assert gzip.decompress(raw).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
 
 
+def test_binary_payloads_of_any_size_and_string_keys(spark):
+    """Bytes that are no text, from none to over 8 MB, under keys of strings: digests are those of hashlib."""
+    import base64
+    import hashlib
+
+    rng = random.Random(6)
+    bodies = [b"", b"\xff\xfe\x00GIF89a", bytes(range(256)) * 300, rng.randbytes(9_000_000), b"\xff\xfe\x00GIF89a", b"WARC/1.1\r\n\r\n\n\n"]
+    keys = ["b/1", "a: x", "é", "z z", "a: w", None]
+    df = spark.createDataFrame([(k, "http://x", bytearray(b)) for k, b in zip(keys, bodies, strict=True)], "page_id string, url string, html binary")
+    arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
+    archive.write_arc(df, arc)
+    archive.convert_archives(spark, arc, warc, key_type="string")
+    got = {r.key: r for r in archive.read_warc(spark, warc, "string").collect()}
+    for k, b in zip(keys, bodies, strict=True):
+        assert got[k].payload_bytes == len(b) and got[k].payload_digest == base64.b32encode(hashlib.sha1(b).digest()).decode()
+    assert got["a: x"].record_type == "revisit" and got["a: x"].refers_to_id == got["a: w"].id
+
+
 def test_no_pages(spark):
     arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     archive.write_arc(pages(spark).limit(0), arc)

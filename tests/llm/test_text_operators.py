@@ -99,7 +99,7 @@ def test_packing_edges(odd_rows, no_rows, library):
 
 
 def test_rank_encoder_equals_the_library(library, odd_texts):
-    got = packing.Encoder(vocabulary_path()).encode([*odd_texts, None])
+    got = packing.Encoder(vocabulary_path(), *packing.profile(vocabulary_path())).encode([*odd_texts, None])
     assert got[-1] == b""
     assert [np.frombuffer(b, "<u2").tolist() for b in got[:-1]] == [library.encode(t, add_special_tokens=False).ids for t in odd_texts]
 
@@ -230,3 +230,97 @@ def test_scoring_edges(odd_rows, no_rows, spark, sf_dir):
     assert rows[0].n_tokens == 0 and rows[0].log_likelihood == 0 and rows[8].log_likelihood == rows[9].log_likelihood
     assert masked_lm.train(masked_lm.window_counts(no_rows)) is None
     assert op2_masked_lm_score(spark, sf_dir).count() == table(spark, sf_dir, "documents").count()
+
+
+def test_the_faster_encoder_is_proven_and_a_wrong_file_is_not():
+    import json
+
+    from symweave.llm.packing import merged, profile, proven
+
+    assert profile(vocabulary_path()) == (True, 2)
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        model = json.load(f)
+    merges = model["model"]["merges"]
+    model["model"]["merges"] = [merges[1], merges[0], *merges[2:]]
+    assert not proven(model)
+    model["model"]["merges"] = merges
+    model["pre_tokenizer"]["add_prefix_space"] = True
+    assert not proven(model)
+    assert merged(b"abc", {b"bc": 1, b"ab": 2, b"abc": 3}, 3) == [b"a", b"bc"]
+
+
+def test_both_encoders_cut_every_code_point_alike():
+    """Each code point beside a letter, a digit, a space and a sign: the class it has for either pattern shows in the ids."""
+    from tokenizers import Tokenizer
+
+    from symweave.llm.packing import Encoder
+
+    own, library = Encoder(vocabulary_path(), True, 2), Tokenizer.from_file(vocabulary_path())
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}b 1{chr(c)}2 {chr(c)}!{chr(c)}?\n" for c in points[at : at + 64]) for at in range(0, len(points), 64)]
+    texts = [t for t in texts if not any(s in t for s in own.specials)]
+    for a in range(0, len(texts), 1000):
+        wanted = library.encode_batch(texts[a : a + 1000], add_special_tokens=False)
+        assert [own.fast(t) for t in texts[a : a + 1000]] == [w.ids for w in wanted]
+
+
+def test_quality_sums_and_features_by_hand(spark):
+    """The ridge of partition sums equals a direct solution; statistics of a text equal plain counting."""
+    import numpy as np
+
+    from symweave.llm import quality
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, quality.WIDTH)).astype(np.float32)
+    y = (x[:, 0] > 0).astype(int)
+    rows = [(r.tolist(), int(v), i % 4 == 0) for i, (r, v) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "stats array<float>, label int, calibrate boolean").repartition(5)
+    model = quality.fit(df, features=32)
+    seen = np.asarray([i % 4 != 0 for i in range(300)])
+    a = x[seen].astype(np.float64)
+    assert np.allclose(model.mean, a.mean(0)) and np.allclose(model.scale, a.std(0) + 1e-6, atol=1e-5)
+    z = np.hstack([np.sqrt(2 / 32) * np.cos(np.clip((a - a.mean(0)) / model.scale, -8, 8) @ model.frequencies + model.phase), np.ones((len(a), 1))])
+    direct = np.linalg.solve(z.T @ z + quality.RIDGE * len(a) / 32 * np.eye(33), z.T @ y[seen])
+    assert np.allclose(model.weights, direct, atol=1e-6)
+    # where no label calibrates, or all do, there is a curve all the same
+    for part in (df.where("not calibrate"), df.where("calibrate")):
+        few = quality.fit(part, features=32)
+        assert few.curve is not None and np.ptp(few.score(x)) > 0
+    text = b"Aa bb, 12\n\nAa bb"
+    s = quality.statistics_of(text)
+    assert np.isclose(s[0], sum(c in b"abcdefghijklmnopqrstuvwxyz" for c in text) / len(text))
+    k = len(quality.BYTE_CLASSES)
+    assert np.isclose(s[k + 1], np.log1p(5)) and np.isclose(s[k + 6], 4 / 5) and np.isclose(s[k + 16], 0)
+
+
+def test_masked_model_by_hand():
+    """The network's probabilities against a plain forward pass, one window at a time."""
+    import numpy as np
+
+    from symweave.llm import masked_lm
+
+    net = masked_lm.WindowNet(seed=9)
+    text = "héllo".encode()
+    keys, ends = masked_lm.windows([text])
+    padded = b"\0" * masked_lm.SIDE + text + b"\0" * masked_lm.SIDE
+    assert ends.tolist() == [len(text)]
+    for i, got in enumerate(net.log_probabilities(keys)):
+        around = [padded[i], padded[i + 1], padded[i + 3], padded[i + 4]]
+        h = np.tanh(sum(net.tables[k][b] for k, b in enumerate(around)) + net.inner)
+        p = np.exp(h @ net.out + net.bias)
+        assert np.isclose(got, np.log(p[padded[i + 2]] / p.sum()), atol=1e-5)
+
+
+def test_without_labels_no_document_is_rejected(odd_rows):
+    from symweave.llm import language
+
+    assert language.keep_identified(odd_rows, language.train(odd_rows.limit(0))).count() == odd_rows.count()
+
+
+def test_batches_are_bounded_alike_by_every_operator(spark):
+    from symweave.llm import common
+
+    common.small_batches(spark)
+    rows = spark.range(3).selectExpr("id", "repeat('x', 5000000) AS text").coalesce(1)
+    sizes = rows.mapInArrow(lambda bs: (b.select([0]) for b in bs if b.num_rows <= 2), "id long").count()
+    assert sizes == 3  # three texts of 5 MB never come in one batch
