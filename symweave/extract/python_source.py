@@ -77,8 +77,22 @@ _HEAD = re.compile(rb"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([^\W\d]\w*)", r
 _CALL = re.compile(rb"(?<![\w.])((?:[^\W\d]\w*[ \t]*\.[ \t]*)*)([^\W\d]\w*)[ \t]*\(")
 
 
+_DOC = re.compile(rb"(?:[ \t\r\n\\]|#[^\n]*\n)*+((?:[rRbBuU]{0,2})(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'))[ \t]*(?:[\r\n;#]|\Z)", re.DOTALL)
+
+
+def closers(text: bytes) -> dict[int, int]:
+    """The place after the closing parenthesis of each opening one, in one pass."""
+    found, held = {}, []
+    for m in re.finditer(rb"[()]", text):
+        if m[0] == b"(":
+            held.append(m.start())
+        elif held:
+            found[held.pop()] = m.end()
+    return found
+
+
 def scan(content: bytes) -> list[Row]:
-    """Definitions by indentation and calls by their parentheses, for files that do not parse."""
+    """Definitions by indentation, with the string that opens their body, and calls by their parentheses, for files that do not parse."""
     blank = _STRING.sub(lambda m: re.sub(rb"[^\n]", b" ", m[0]), content)
     lines = [(m.start(), m[0]) for m in re.finditer(rb"[^\n]*\n?", blank) if m[0]]
     rows: list[Row] = []
@@ -94,23 +108,19 @@ def scan(content: bytes) -> list[Row]:
             classes.append((m.start(), stop, m[3].decode("utf-8", "replace")))
         else:
             found.append((m, stop))
-    heads = {m.start(3) for m, _ in found}
+    heads, closed = {m.start(3) for m, _ in found}, closers(blank)
     for m, stop in found:
         owner = next((n for a, b, n in reversed(classes) if a < m.start() < b), None)
-        colon = blank.find(b":", m.end())
+        colon = blank.find(b":", closed.get(blank.find(b"(", m.end(), max(stop, m.end())), m.end()))
         body = colon + 1 if 0 <= colon < stop else m.end()
-        rows.append(Row(DEFINITION, "method" if owner else "function", m[3].decode("utf-8", "replace"), owner, m.start() + len(m[1]), max(stop, m.end()), body, max(stop, m.end())))
+        opens = _DOC.match(content, body, max(stop, body))
+        doc = clean_docstring(opens[1].decode("utf-8", "replace")) if opens else None
+        rows.append(Row(DEFINITION, "method" if owner else "function", m[3].decode("utf-8", "replace"), owner, m.start() + len(m[1]), max(stop, m.end()), body, max(stop, m.end()), doc))
     for m in _CALL.finditer(blank):
         name = m[2].decode("utf-8", "replace")
         if name in KEYWORDS or m.start(2) in heads or re.search(rb"\b(?:def|class)[ \t]+$", blank[: m.start(2)][-40:]):
             continue
-        depth, close = 0, None
-        for k in range(m.end() - 1, min(len(blank), m.end() + 20_000)):
-            c = blank[k]
-            depth += (c == 40) - (c == 41)
-            if not depth:
-                close = k + 1
-                break
+        close = closed.get(m.end() - 1)
         if close is not None:
             rows.append(Row(REFERENCE, "method" if m[1] else "function", name, None, m.start(), close))
     return rows

@@ -162,3 +162,12 @@ def test_syntax_tree_rows(spark):
     assert count["Call"] == 4 and count["FunctionDef"] == 1 and list(count) == sorted(count)
     assert samples(nodes, "Call").count() == 3
     assert extent(nodes).first().max_depth == 6
+
+
+def test_files_that_do_not_parse_keep_document_strings_and_long_calls():
+    from symweave.extract.python_source import extract
+
+    src = b'def f(a: int = 1) -> int:\n    """Doc of f."""\n    g(1, (2))\n\nclass C:\n    def m(self):  # x\n        # note\n        \'single\'\n        h(' + b"1, " * 20_000 + b'2)\n    def n(self):\n        x = "no"\n        k(\n(((\n'
+    rows = extract(src)
+    assert [(r.name, r.class_name, r.doc) for r in rows if r.kind == "definition"] == [("f", None, "Doc of f."), ("m", "C", "single"), ("n", "C", None)]
+    assert [r.name for r in rows if r.kind == "reference"] == ["g", "h"]
