@@ -15,10 +15,11 @@ A bucket returns at most one link a fingerprint (its local components), however
 many fingerprints meet, so a group of copies of any size yields no pair list.
 
 The filtering stage (``keep_one``) asks for a similarity of four fifths of the
-five-word shingles, where fingerprints differ in about ten bits: a ball of that
-radius has over four billion variants. So ball hashing finds what lies within
-its radius, bands of least shingle hashes find the rest, and every link is
-checked on the shingle sets themselves.
+five-word shingles, where fingerprints differ in about ten bits: a ball that holds
+half of such pairs takes eight million variants a fingerprint, one that holds
+nearly all of them five billion. So ball hashing finds what lies within its
+radius, bands of least shingle hashes find the rest, and every link is checked on
+the shingle sets themselves.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any
 other; fewer words than a shingle hash as one sequence; repeated rows share
