@@ -146,10 +146,11 @@ class WindowNet:
         rng = np.random.default_rng(seed)
         params = self.weights()
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        # frequent windows are drawn often and weigh less for it: the expected loss is that of the corpus
+        # every window comes up at least once and frequent ones more often, weighing less for it: the expected loss is that of the corpus
         share = np.sqrt(counts.astype(np.float64))
-        picks = rng.choice(len(keys), max(BATCH, len(keys)), p=share / share.sum())
-        scale = counts / share
+        times = np.maximum(1, np.rint(len(keys) * share / share.sum())).astype(np.int64)
+        picks = rng.permutation(np.repeat(np.arange(len(keys)), times))
+        scale = counts / times
         for step, a in enumerate(range(0, len(picks), BATCH), 1):
             rows = picks[a : a + BATCH]
             around, byte = self.split(keys[rows])
