@@ -527,18 +527,24 @@ def index_difference(spark, d):
 # ---- stores ------------------------------------------------------------------
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
 def _stored(spark, d, kind, mode="crossref"):
-    """The parts' index written to a store of that kind and read again."""
+    """The parts' index written to a store of that kind, once a session, and read again."""
     import os
 
     from symweave.sources import json_index, sqlite
     from symweave.storage import local_folder
 
     write, read = {"json": (json_index.write_json, json_index.read_json), "sqlite": (sqlite.write_sqlite, sqlite.read_sqlite), "parquet": (json_index.write_parquet, json_index.read_parquet)}[kind]
-    path = os.path.join(local_folder(spark, f"store-{kind}"), f"index.{kind}")
-    x = X.part_index(spark, d, mode)
-    write(I.SymbolIndex(materialise(x.definitions, "definitions"), materialise(x.references, "references"), materialise(x.calls, "calls"), mode), path)
-    return read(spark, path)
+    key = (spark.sparkContext.applicationId, d, kind, mode)
+    if key not in _WRITTEN or not os.path.exists(_WRITTEN[key]):
+        path = os.path.join(local_folder(spark, f"store-{kind}"), f"index.{kind}")
+        x = X.part_index(spark, d, mode)
+        write(I.SymbolIndex(materialise(x.definitions, "definitions"), materialise(x.references, "references"), materialise(x.calls, "calls"), mode), path)
+        _WRITTEN[key] = path
+    return read(spark, _WRITTEN[key])
 
 
 def _all_facts(x):
@@ -585,16 +591,24 @@ project_refs AS (SELECT 'function' AS type, region AS name, region || '/' || nat
 """
 
 
-def _project(spark, d):
+def _project(spark, d, fresh=False):
+    """The folder of the project, written once a session; a fresh one where something is stored beside the sources."""
+    import os
+
     from symweave.sources.project import write_project
 
-    return write_project(spark, d)
+    key = (spark.sparkContext.applicationId, d, "project")
+    if fresh:
+        return write_project(spark, d)
+    if key not in _WRITTEN or not os.path.exists(_WRITTEN[key]):
+        _WRITTEN[key] = write_project(spark, d)
+    return _WRITTEN[key]
 
 
 def _code(spark, d, persist="none"):
     from symweave.api import CodeAnalytics
 
-    return CodeAnalytics(spark).setup_repo_index(_project(spark, d), "python", persist=persist)
+    return CodeAnalytics(spark).setup_repo_index(_project(spark, d, persist != "none"), "python", persist=persist)
 
 
 def _scanned(spark, d):
