@@ -475,10 +475,11 @@ def grouped(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     tried = materialise(ball_candidates(nodes).unionByName(band_candidates(shared)).distinct(), "candidates", files=files)
     met = shared.select("node").union(tried.select("u")).union(tried.select("v")).distinct()
     sets = shingle_sets(documents, materialise(nodes.select("node", "first").join(met, "node"), "met", files=files), key, text)
-    found = materialise(verified(tried, sets), "links", files=files)
+    # steps that hold sets or sketches run in all tasks; only their few rows are brought together
+    found = materialise(verified(tried, sets).repartition(files), "links")
     roots = components(found).withColumnRenamed("u", "node")
-    while not (more := materialise(untried(shared, tried, roots, sets), "candidates", files=files)).isEmpty():
-        tried, again = tried.unionByName(more), materialise(verified(more, sets), "links", files=files)
+    while not (more := materialise(untried(shared, tried, roots, sets).repartition(files), "candidates")).isEmpty():
+        tried, again = tried.unionByName(more), materialise(verified(more, sets).repartition(files), "links")
         if not again.isEmpty():
             found = found.unionByName(again)
             roots = components(found).withColumnRenamed("u", "node")
