@@ -434,7 +434,7 @@ def untried(shared: DataFrame, tried: DataFrame, roots: DataFrame, sets: DataFra
     """(u, v) of different components that share a band, were not compared, and are by sketch the most similar of their components.
 
     A node that is not similar to the central node of a band may be similar to another one there. Members of a band that are
-    outside its largest component are compared with all its members, in blocks and in place: no list of pairs is made.
+    outside its largest component are compared with all its members, in blocks and in place; only plausible pairs come out.
     """
     crowd = dealt_join(shared.where("n > 2"), roots, ["node"], ["band"], "left").select("band", "node", "n", F.coalesce("m", "node").alias("root"))
     crowd = materialise(crowd, "crowd", files=files_for(shared.count()))
