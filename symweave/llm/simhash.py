@@ -65,8 +65,8 @@ BROADCAST_KEYS = 4_000_000
 #: Variants held at once; a larger bucket is walked in slices by further bits.
 HELD = 1_500_000
 #: Nodes of a band that one task compares with as many others, and the share of equal least hashes from which it takes a pair to be worth a check:
-#: a pair of similarity 0.8 lies below it with probability 0.0001.
-BLOCK, PLAUSIBLE = 2048, 0.64
+#: a pair of similarity 0.8 lies below it with probability 0.0001. Blocks are smaller where their sets would take more bytes.
+BLOCK, BLOCK_BYTES, PLAUSIBLE = 2048, 32 << 20, 0.64
 #: Rows of a narrow table in one file.
 FILE_ROWS = 200_000
 
@@ -403,60 +403,86 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def sketches(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, sketch): 16 bits of each least hash of the wanted nodes."""
+    """(node, sketch, size, bands): 16 bits of each least hash of the wanted (node, bands), and the bytes of the set."""
+    small_batches(sets.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(least_hashes(np.frombuffer(x, np.uint64)) >> np.uint64(20)).astype(np.uint16).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "sketch"])
+            every = batch.column(1).to_pylist()
+            found = [(least_hashes(np.frombuffer(x, np.uint64)) >> np.uint64(20)).astype(np.uint16).tobytes() for x in every]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array([len(x) for x in every], pa.int64()), batch.column(2)], names=["node", "sketch", "size", "bands"])
 
-    return sets.join(wanted, "node", "left_semi").select("node", "shingles").mapInArrow(run, "node long, sketch binary")
+    return sets.join(wanted, "node").select("node", "shingles", "bands").mapInArrow(run, "node long, sketch binary, size long, bands array<long>")
 
 
-def best_partners(nodes: np.ndarray, roots: np.ndarray, marks: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each node of ``left`` the most similar one by sketch of every other component among ``right``, where it is plausible that they are similar."""
-    us, vs = [], []
+def worth_a_check(roots: np.ndarray, marks: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The rows of ``left`` and ``right`` that are plausibly similar to a row of the other side in another component."""
+    found = np.zeros(len(roots), bool)
     for a in range(0, len(left), 32):
         rows = left[a : a + 32]
-        share = (marks[rows, None, :] == marks[None, right, :]).mean(2)
-        i, j = np.nonzero((share >= PLAUSIBLE) & (roots[rows, None] != roots[None, right]))
-        if len(i):
-            order = np.lexsort((nodes[right[j]], -share[i, j], roots[right[j]], i))
-            i, j = i[order], j[order]
-            first = np.concatenate(([True], (i[1:] != i[:-1]) | (roots[right[j[1:]]] != roots[right[j[:-1]]])))
-            us.append(nodes[rows[i[first]]])
-            vs.append(nodes[right[j[first]]])
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(us), np.concatenate(vs)) if us else (empty, empty)
+        near = ((marks[rows, None, :] == marks[None, right, :]).mean(2) >= PLAUSIBLE) & (roots[rows, None] != roots[None, right])
+        found[rows[near.any(1)]] = True
+        found[right[near.any(0)]] = True
+    return np.flatnonzero(found)
+
+
+def joining(band: int, nodes: np.ndarray, roots: np.ndarray, bands: list[set[int]], marks: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links between rows of ``left`` and ``right`` whose sets are similar, as many as join the components of ``label``, which is changed.
+
+    Every plausible pair of two components is checked, but in the least band that it shares only; pairs that others have joined need no check.
+    """
+    for i in left:
+        share = (marks[i] == marks[right]).mean(1)
+        near = np.flatnonzero((share >= PLAUSIBLE) & (label[right] != label[i]))
+        for j in right[near[np.argsort(-share[near], kind="stable")]]:
+            if label[i] != label[j] and min(bands[i] & bands[j]) == band and similar(sets[i], sets[j]):
+                label[label == label[j]] = label[i]
+                yield nodes[i], nodes[j]
 
 
 def untried(shared: DataFrame, tried: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v) of different components that share a band, were not compared, and are by sketch the most similar of their components.
+    """(u, v): similar nodes of different components that share a band, as many as join what is similar there.
 
     A node that is not similar to the central node of a band may be similar to another one there. Members of a band that are
-    outside its largest component are compared with all its members, in blocks and in place; only plausible pairs come out.
+    outside its largest component are compared with all its members by sketches, in blocks and in place; those with a plausible
+    partner, a row each, meet again with their sets, and all their plausible pairs are checked in place. No list of pairs comes out.
     """
-    crowd = dealt_join(shared.where("n > 2"), roots, ["node"], ["band"], "left").select("band", "node", "n", F.coalesce("m", "node").alias("root"))
+    crowd = dealt_join(shared.where("n > 2"), roots, ["node"], ["band"], "left").select("band", "node", F.coalesce("m", "node").alias("root"))
     crowd = materialise(crowd, "crowd", files=files_for(shared.count()))
-    sizes = crowd.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("k")).where("k > 1").select("band", "most.root")
-    mixed = dealt_join(crowd, sizes.withColumnRenamed("root", "main"), ["band"], ["node"])
-    mixed = materialise(mixed.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "mixed", files=files_for(shared.count()))
-    held = materialise(sketches(sets, mixed.select("node").distinct()), "sketches")
-    rows = mixed.join(held, "node").select("band", "node", "root", "main", "block", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other")).drop("other")
-
-    def compare(group: pa.Table) -> pa.Table:
+    mains = crowd.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("k")).where("k > 1").select("band", F.col("most.root").alias("main"))
+    mixed = materialise(dealt_join(crowd, mains, ["band"], ["node"]), "mixed", files=files_for(shared.count()))
+    held = materialise(sketches(sets, mixed.groupBy("node").agg(F.collect_set("band").alias("bands"))), "sketches")
+    rows = dealt_join(mixed, held, ["node"], ["band"])
+    sizes = rows.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = dealt_join(rows.drop("size"), sizes, ["band"], ["node"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other")).drop("other", "blocks")
+
+    def sides(group: pa.Table) -> tuple:
         nodes, roots, block = (group.column(n).to_numpy() for n in ("node", "root", "block"))
         a, b, main = (group.column(n)[0].as_py() for n in ("a", "b", "main"))
         marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(len(nodes), -1)
         minor, one, two = roots != main, block == a, block == b
-        pairs = [best_partners(nodes, roots, marks, np.flatnonzero(minor & one), np.flatnonzero(two))]
+        pairs = [(np.flatnonzero(minor & one), np.flatnonzero(two))]
         if a != b:
-            pairs.append(best_partners(nodes, roots, marks, np.flatnonzero(minor & two), np.flatnonzero(one)))
-        u, v = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            pairs.append((np.flatnonzero(minor & two), np.flatnonzero(one)))
+        return nodes, roots, marks, pairs
+
+    def sift(group: pa.Table) -> pa.Table:
+        _, roots, marks, pairs = sides(group)
+        return group.take(np.unique(np.concatenate([worth_a_check(roots, marks, *p) for p in pairs])))
+
+    def check(group: pa.Table) -> pa.Table:
+        nodes, roots, marks, pairs = sides(group)
+        bands = [set(x) for x in group.column("bands").to_pylist()]
+        hashes = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        label = roots.copy()
+        found = [x for p in pairs for x in joining(group.column("band")[0].as_py(), nodes, roots, bands, marks, hashes, *p, label)]
+        u, v = np.asarray(found, np.int64).reshape(-1, 2).T
         return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
-    met = rows.groupBy("band", "a", "b").applyInArrow(compare, "u long, v long").distinct()
+    schema = "band long, node long, root long, main long, sketch binary, bands array<long>, block int, a int, b int"
+    few = materialise(rows.select("band", "node", "root", "main", "sketch", "bands", "block", "a", "b").groupBy("band", "a", "b").applyInArrow(sift, schema), "sifted")
+    met = dealt_join(few, sets, ["node"], ["band", "a", "b"]).groupBy("band", "a", "b").applyInArrow(check, "u long, v long").distinct()
     return met.join(tried, ["u", "v"], "left_anti")
 
 
@@ -478,11 +504,9 @@ def grouped(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     # steps that hold sets or sketches run in all tasks; only their few rows are brought together
     found = materialise(verified(tried, sets).repartition(files), "links")
     roots = components(found).withColumnRenamed("u", "node")
-    while not (more := materialise(untried(shared, tried, roots, sets).repartition(files), "candidates")).isEmpty():
-        tried, again = tried.unionByName(more), materialise(verified(more, sets).repartition(files), "links")
-        if not again.isEmpty():
-            found = found.unionByName(again)
-            roots = components(found).withColumnRenamed("u", "node")
+    more = materialise(untried(shared, tried, roots, sets).repartition(files), "links")
+    if not more.isEmpty():
+        roots = components(found.unionByName(more)).withColumnRenamed("u", "node")
     joined = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("m", "node"))
     least = joined.groupBy("root").agg(F.min("first").alias("least"))
     of_node = materialise(joined.join(least, "root").select("node", F.col("least").alias("first")), "components", files=files)

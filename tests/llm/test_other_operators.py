@@ -247,6 +247,40 @@ def test_every_similar_pair_of_a_band_is_linked(spark, monkeypatch):
     assert (1, 0) in both and (4, 3) in both and both & {(2, 0), (2, 1)} and not {p for p in both if p[0] > 2 > p[1]}
 
 
+def test_the_second_best_partner_of_a_component_is_checked(spark):
+    """0 looks most like 2 by its sketch but is not similar to it; it is similar to 3 of the same component, which only a further check finds."""
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    sets = {0: base, 3: base[70:], 9: np.sort(rng.integers(0, 1 << 63, 400, dtype=np.uint64))}
+    sets[2] = next(x for n in range(400) if not simhash.similar(base, x := np.delete(base, rng.choice(400, 85, replace=False))) and _agree(base, x) > _agree(base, base[70:]))
+    shared = spark.createDataFrame([(7, n, 4) for n in sets], "band long, node long, n long")
+    held = spark.createDataFrame([(n, x.tobytes()) for n, x in sets.items()], "node long, shingles binary")
+    tried = spark.createDataFrame([(9, 0), (9, 2), (9, 3)], "u long, v long")
+    roots = spark.createDataFrame([(3, 2), (2, 2)], "node long, m long")
+    more = simhash.untried(shared, tried, roots, held)
+    assert [(r.u, r.v) for r in simhash.verified(more, held).collect()] == [(3, 0)]
+
+
+def _agree(a, b):
+    """The share of equal marks of two sketches."""
+    return ((simhash.least_hashes(a) >> np.uint64(20)).astype(np.uint16) == (simhash.least_hashes(b) >> np.uint64(20)).astype(np.uint16)).mean()
+
+
+def test_plausible_pairs_of_a_group_come_out_as_rows_of_nodes(spark):
+    """Sixty texts of similarity 0.7 to each other: 1770 plausible pairs, none similar; one more text that is similar to two of them links three."""
+    rng = np.random.default_rng(6)
+    core = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    sets = {n: np.sort(np.concatenate([core, rng.integers(0, 1 << 63, 150, dtype=np.uint64)])) for n in range(60)}
+    sets[60] = np.sort(np.concatenate([sets[0], np.setdiff1d(sets[1], core)[:120]]))
+    shared = spark.createDataFrame([(b, n, 61) for n in sets for b in (7, 8)], "band long, node long, n long")
+    held = spark.createDataFrame([(n, x.tobytes()) for n, x in sets.items()], "node long, shingles binary")
+    pairs = [(u, v) for u in sets for v in sets if u > v and simhash.similar(sets[u], sets[v])]
+    assert (60, 0) in pairs
+    more = simhash.untried(shared, spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "node long, m long"), held)
+    links = [(r.u, r.v) for r in more.collect()]
+    assert set(links) <= set(pairs) and len(links) == len({n for p in pairs for n in p}) - 1
+
+
 def test_the_central_text_of_a_group_links_it(spark):
     """Copies of one text that are less than 0.8 similar to each other, and as much to their source: the source is found and links them."""
     rng = random.Random(12)
