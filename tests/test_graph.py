@@ -7,6 +7,7 @@ from symweave.operators import graph as G
 from symweave.operators import resolve as R
 from symweave.operators.index import SymbolIndex
 from symweave.schema import CALLS, DEFINITIONS, REFERENCES
+from symweave.storage import materialise
 
 BOTH = ["local", "distributed"]
 
@@ -181,3 +182,52 @@ def test_long_chain_does_not_recurse(spark):
     n = 3000
     pairs = [(i, i + 1) for i in range(n - 1)] + [(n - 1, 0)]
     assert G.components(nodes_of(spark, n), edges_of(spark, pairs)).select("scc_id").distinct().count() == 1
+
+
+PART_QUERIES = ["bfs_order", "call_edges_may", "entrypoint_pruned_stats", "graph_direction_backward", "graph_direction_both", "graph_direction_forward", "graph_stats", "node_degrees", "paths_max_depth", "paths_node_k3", "report_top_files"]
+
+
+@pytest.mark.parametrize("name", PART_QUERIES)
+def test_large_graphs_are_walked_without_their_edges(name, spark, duck, sf_dir, monkeypatch):
+    """Above the bound the answers are those of the SQL, and no plan lists the edges of calls."""
+    from compare import matches_sql
+    from symweave.plans.registry import ORACLES, QUERIES
+
+    monkeypatch.setattr(G, "LOCAL_EDGES", 0)
+    listed = []
+    monkeypatch.setattr(G, "materialise", lambda df, tag, *a, **k: listed.append(tag) or materialise(df, tag, *a, **k))
+    matches_sql(spark, duck, sf_dir, QUERIES[name], ORACLES[name])
+    assert "edges" not in listed
+
+
+def shared_places(spark, mode):
+    """Two symbols at one place, a symbol with several places, a definition twice, loops and calls at one site."""
+    defs = [("A", 1), ("B", 2), ("C", 2), ("B", 3), ("C", 4), ("D", 5), ("A", 6), ("D", 5)]
+    calls = [("A", 1, "B", 101), ("A", 1, "C", 101), ("B", 2, "D", 102), ("C", 4, "B", 103), ("D", 5, "A", 104), ("A", 6, "A", 105), ("B", 3, "C", 106), ("A", 1, "D", 107), ("E", 9, "A", 108), ("D", 5, "nowhere", 109)]
+    x = facts(spark, defs, calls)
+    return SymbolIndex(x.definitions, x.references, x.calls, mode)
+
+
+@pytest.mark.parametrize("mode", ["crossref", "simple"])
+def test_both_forms_of_a_graph_agree(spark, monkeypatch, mode):
+    x = shared_places(spark, mode)
+    plain = G.call_graph(x)
+    with monkeypatch.context() as m:
+        m.setattr(G, "LOCAL_EDGES", 0)
+        fanned = G.call_graph(x)
+    assert plain.calls is None and fanned.calls is not None
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(plain.edges) == rows(fanned.edges)
+    assert rows(plain.stats()) == rows(fanned.stats()) == rows(G.call_stats(x))
+    for d in G.DIRECTIONS:
+        assert rows(G.edge_counts(plain, d)) == rows(G.edge_counts(fanned, d))
+    assert rows(G.graph_degrees(plain).select("node_id", "n_in", "n_out")) == rows(G.graph_degrees(fanned).select("node_id", "n_in", "n_out"))
+    assert [rows(df.select(*sorted(df.columns))) for df in G.graph_components(plain)] == [rows(df.select(*sorted(df.columns))) for df in G.graph_components(fanned)]
+    one = spark.createDataFrame([(0,)], "node_id long")
+    for depth in (None, 1, 2):
+        assert rows(G.graph_reachable(plain, one, depth)) == rows(G.graph_reachable(fanned, one, depth))
+    starts = spark.createDataFrame([(3, 0), (0, 1)], "node_id long, rank long")
+    assert rows(G.graph_order(plain, starts)) == rows(G.graph_order(fanned, starts))
+    text = lambda df: [r.nodes for r in df.orderBy("path_no").collect()]
+    for goal, depth in ((1, 3), (3, None), (4, 2)):
+        assert text(G.graph_paths(plain, 0, goal, 4, depth)) == text(G.graph_paths(fanned, 0, goal, 4, depth))
