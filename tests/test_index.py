@@ -195,3 +195,22 @@ def test_submissions(spark):
         q2.submit("task_1", "again")
     q3 = TaskList(q2.tasks, q2.submissions, True).submit("task_1", "again")
     assert q3.result("task_1") == "again" and q3.recent(5).count() == 2
+
+
+def test_a_document_is_read_in_several_tasks(spark, sf_dir, tmp_path):
+    """Entries lie on lines of their own, so a document is split, and its text is still one JSON value in order of the symbols."""
+    import json
+
+    from symweave.sources import fixtures, json_index
+
+    x = fixtures.part_index(spark, sf_dir, "simple")
+    path = str(tmp_path / "index.json")
+    json_index.write_json(x, path, {"made": "here"})
+    whole = json.load(open(path, encoding="utf-8"))
+    assert whole["type"] == "simple_index" and whole["metadata"] == {"made": "here"} and len(whole["data"]) == x.info().count()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        found = json_index.read_json(spark, path, "simple").definitions
+        assert found.rdd.getNumPartitions() > 1 and found.count() == x.definitions.count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
