@@ -90,3 +90,11 @@ def test_added_calls_are_merged_into_what_a_store_held(spark, large, tmp_path):
     assert back.complete and not back.append(calls=more).complete
     assert back.append(calls=more).all_definitions().count() == back.all_definitions().count() + 1
     assert back.append(calls=more).all_references().where(F.col("location.file_path") == "n.c").count() == 1
+
+
+@pytest.mark.parametrize("mode, coded", [("crossref", 200_000), ("crossref", 0), ("simple", 200_000)])
+def test_an_outline_has_what_info_has(mode, coded, spark, large, monkeypatch):
+    monkeypatch.setattr(I, "CODED_SYMBOLS", coded)
+    index = large[mode]
+    theirs = sorted((str(r.symbol), sorted(d.location.start_byte for d in r.definitions), len(r.definitions), len(r.references)) for r in index.info().collect())
+    assert sorted((str(r.symbol), r.starts, r.n_definitions, r.n_references) for r in index.outline().collect()) == theirs
