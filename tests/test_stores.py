@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from symweave.operators import index as I
 from symweave.schema import CALLS, DEFINITIONS, REFERENCES
-from symweave.sources import json_index
+from symweave.sources import json_index, sqlite
 from symweave.sources.json_index import read_json, write_json
 
 SYMBOLS = [("function", "a", None), ("function", 'b","info":{"x', None), ("method", "a", "K"), ("method", "é\n]", "K")]
@@ -98,3 +98,18 @@ def test_an_outline_has_what_info_has(mode, coded, spark, large, monkeypatch):
     index = large[mode]
     theirs = sorted((str(r.symbol), sorted(d.location.start_byte for d in r.definitions), len(r.definitions), len(r.references)) for r in index.info().collect())
     assert sorted((str(r.symbol), r.starts, r.n_definitions, r.n_references) for r in index.outline().collect()) == theirs
+
+
+@pytest.mark.parametrize("mode, rows, coded", [("crossref", 100, 200_000), ("crossref", 10_000, 0), ("simple", 100, 200_000)])
+def test_an_sqlite_store_is_whole_in_passes(mode, rows, coded, spark, large, tmp_path, monkeypatch):
+    """Calls find their ids in passes, and what was stored is read without its calls being merged again."""
+    monkeypatch.setattr(sqlite, "PASS_ROWS", rows)
+    monkeypatch.setattr(sqlite, "CODED_SYMBOLS", coded)
+    index = large[mode]
+    back = sqlite.read_sqlite(spark, sqlite.write_sqlite(index, str(tmp_path / "i.sqlite")))
+    assert back.complete == (mode == "crossref")
+    for ours, theirs in ((back.all_definitions(), index.all_definitions()), (back.all_references(), index.all_references())):
+        assert sorted(map(str, ours.select("symbol", "location").collect())) == sorted(map(str, theirs.select("symbol", "location").collect()))
+    pairs = lambda x, keep=lambda p: True: {p for p in x.calls.select("caller", "callee").collect() if keep(p)}
+    placed = {(r.symbol, r.location) for r in index.all_references().collect()}, {(r.symbol, r.location) for r in index.all_definitions().collect()}
+    assert pairs(back) == pairs(index, lambda p: tuple(p.callee) in placed[0] and tuple(p.caller) in placed[1])
